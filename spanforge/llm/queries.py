@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import table, utf8_size
+from .decontamination import covered, hit_items, phrase_matches
 from .sharding import histogram_sort_shards
 from .token_counts import token_counts
 
@@ -26,9 +28,24 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of every document stand in a 10-word window of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = phrase_matches(docs, table(spark, sf_dir, "benchmark"))
+    items, n_hit = hit_items(F.col("hits")), covered(F.col("hits")).cast("long")
+    return found.select(
+        "doc_id",
+        F.size("words").cast("long").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_histogram_sort, op8_token_counts)}
+    return {f.__name__: f for f in (op3_histogram_sort, op8_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontamination": oracles.DECONTAMINATION}
