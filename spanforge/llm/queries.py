@@ -10,6 +10,7 @@ from .common import table, utf8_size
 from .decontamination import covered, hit_items, phrase_matches
 from .sharding import histogram_sort_shards
 from .token_counts import token_counts
+from .warc import archive, read_bundles
 
 N_SHARDS = 40
 
@@ -43,9 +44,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record in seekable bundles, read back from the archives."""
+    index, _ = archive(spark, table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    number = lambda c: F.nullif(F.col(c), F.lit("")).cast("long")
+    return read_bundles(index).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_histogram_sort, op8_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op4_warc, op3_histogram_sort, op8_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": oracles.DECONTAMINATION}
+    return {"op4_warc": oracles.WARC, "op10_decontamination": oracles.DECONTAMINATION}
