@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .common import table, utf8_size
 from .decontamination import covered, hit_items, phrase_matches
+from .minhash import near_duplicates
 from .sharding import histogram_sort_shards
 from .token_counts import token_counts
 from .warc import archive, read_bundles
@@ -51,9 +52,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bundles(index).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document at a similarity of 0.85 over 5-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), n=5, percent=85)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_warc, op3_histogram_sort, op8_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op4_warc, op5_minhash, op3_histogram_sort, op8_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": oracles.WARC, "op10_decontamination": oracles.DECONTAMINATION}
+    return {"op5_minhash": oracles.NEAR_DUPLICATES, "op4_warc": oracles.WARC, "op10_decontamination": oracles.DECONTAMINATION}
