@@ -11,6 +11,7 @@ from .decontamination import covered, hit_items, phrase_matches
 from .minhash import near_duplicates
 from .sharding import histogram_sort_shards
 from .token_counts import token_counts
+from .toxicity import THRESHOLD, fit, held_out, score_toxicity
 from .warc import archive, read_bundles
 
 N_SHARDS = 40
@@ -57,8 +58,16 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=5, percent=85)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, by a model of the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scored = score_toxicity(docs, fit(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_warc, op5_minhash, op3_histogram_sort, op8_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op4_warc, op5_minhash, op9_toxicity, op3_histogram_sort, op8_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
