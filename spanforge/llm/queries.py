@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .common import table, utf8_size
 from .decontamination import covered, hit_items, phrase_matches
+from .html_text import extract_pages
 from .minhash import near_duplicates
 from .sharding import histogram_sort_shards
 from .token_counts import token_counts
@@ -66,8 +67,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_warc, op5_minhash, op9_toxicity, op3_histogram_sort, op8_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op4_warc, op5_minhash, op7_html_text, op9_toxicity, op3_histogram_sort, op8_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
