@@ -24,7 +24,7 @@ class WordHashes:
     def __call__(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
-        if new := set(words) - self.memo.keys():
+        if new := {w for w in words if w not in self.memo}:
             if len(self.memo) + len(new) > MEMO:
                 self.memo, new = {}, set(words)
             digest = xxhash.xxh64_intdigest
