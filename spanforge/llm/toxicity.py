@@ -84,7 +84,7 @@ class TokenTable:
         self.rows = np.zeros((1 << 14, len(COLUMNS)), dtype=np.float32)
 
     def __call__(self, tokens: list[str]) -> np.ndarray:
-        if new := set(tokens) - self.ids.keys():
+        if new := {t for t in tokens if t not in self.ids}:
             if len(self.ids) + len(new) > self.most:
                 self.clear()
                 new = set(tokens)
