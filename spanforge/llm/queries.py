@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .ann import search
 from .common import table, utf8_size
 from .decontamination import covered, hit_items, phrase_matches
 from .html_text import extract_pages
@@ -73,8 +74,13 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found for every vector whose id is divisible by 50."""
+    return search(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_warc, op5_minhash, op7_html_text, op9_toxicity, op3_histogram_sort, op8_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op4_warc, op5_minhash, op6_ann, op7_html_text, op9_toxicity, op3_histogram_sort, op8_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
