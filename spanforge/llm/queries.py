@@ -13,6 +13,7 @@ from .html_text import extract_pages
 from .minhash import near_duplicates
 from .sharding import histogram_sort_shards
 from .token_counts import token_counts
+from .substring_dedup import shared_passages
 from .toxicity import THRESHOLD, fit, held_out, score_toxicity
 from .warc import archive, read_bundles
 
@@ -79,8 +80,13 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that repeats a passage of an earlier document."""
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_warc, op5_minhash, op6_ann, op7_html_text, op9_toxicity, op3_histogram_sort, op8_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_warc, op5_minhash, op6_ann, op7_html_text, op9_toxicity, op3_histogram_sort, op8_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
