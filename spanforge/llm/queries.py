@@ -11,6 +11,7 @@ from .common import table, utf8_size
 from .decontamination import covered, hit_items, phrase_matches
 from .html_text import extract_pages
 from .minhash import near_duplicates
+from .sentencepiece_codec import encode_documents
 from .sharding import histogram_sort_shards
 from .token_counts import token_counts
 from .substring_dedup import shared_passages
@@ -85,8 +86,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_passages(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SentencePiece ids of every document, decoded again as a check."""
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_warc, op5_minhash, op6_ann, op7_html_text, op9_toxicity, op3_histogram_sort, op8_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op4_warc, op5_minhash, op6_ann, op7_html_text, op9_toxicity, op3_histogram_sort, op8_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
