@@ -66,3 +66,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def utf8_size(text: Column) -> Column:
     """UTF-8 bytes of a text; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; else the join is left to shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def only(rows: DataFrame, ids: DataFrame, column: str, most: int = 1_000_000) -> DataFrame:
+    """The rows whose integer id is among ids: in place if the ids are few enough to broadcast, else by a shuffle."""
+    return rows.join(small(ids.distinct(), most), column, "left_semi")
