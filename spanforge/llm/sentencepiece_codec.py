@@ -3,9 +3,10 @@
 Every prefix of a text has exactly one last piece: the one that follows the last piece of the shorter prefix
 without a merge that byte-pair encoding would have made across or inside them. So the search keeps, for each
 boundary, one backpointer, and needs only the boundaries within the longest piece. Ids are committed as soon as
-the paths of all boundaries in that window meet in one boundary. In particular they meet before a word's space,
-which no piece holds after another character; so the search restarts there, and the ids of a piece of text
-between two such places are remembered. The ids equal those of the sentencepiece library (see the tests).
+the paths of all boundaries in that window meet in one boundary. In particular they meet where no piece of the
+vocabulary crosses: before a word's space, and between a word and most punctuation. The search restarts there,
+and the ids of the text between two such places are remembered. The ids equal those of the sentencepiece
+library (see the tests).
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MEMO, MEMO_CHARS = 500_000, 64
 STEP = 64
 
@@ -41,13 +41,17 @@ class Codec:
         self.longest = max(map(len, self.ids), default=1)
         if any(re.search(f"[^{SPACE}]{SPACE}", t) for t in self.ids):
             raise ValueError("a piece holds a space after another character: segments would not be independent")
+        # marks that no piece holds after a letter or digit end a segment
+        inside = {m for t in self.ids for m in re.findall(r"(?<=[^\W_])[\W_]", t)}
+        ends = re.escape("".join(c for c in map(chr, range(128)) if not c.isalnum() and c not in inside))
+        self.segments = re.compile(f"{SPACE}*[^\\W_]+(?=[{ends}{SPACE}]|\\Z)|{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.live = {t for t in self.ids if self.merge(t) == [t]}
         high = {i for b, i in self.bytes.items() if b >= 128}
         self.high = high
         shown = {i: chr(b) for b, i in self.bytes.items() if b < 128}
         self.shown = [shown.get(i, "" if model.is_control(i) else self.texts[i].replace(SPACE, " ")) for i in range(self.size)]
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.single: dict[str, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -64,13 +68,6 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands(self, piece: str) -> bool:
-        """Whether a piece is its own encoding."""
-        ok = self.single.get(piece)
-        if ok is None:
-            ok = self.single[piece] = self.merge(piece) == [piece]
-        return ok
-
     def follows(self, before: str, piece: str) -> bool:
         """Whether two pieces stay apart where they meet."""
         ok = self.pairs.get((before, piece))
@@ -104,7 +101,7 @@ class Codec:
             return []
         out: list[int] = []
         memo, extend = self.memo, out.extend
-        for s in SEGMENT.findall(SPACE + text.replace(" ", SPACE)):
+        for s in self.segments.findall(SPACE + text.replace(" ", SPACE)):
             extend(memo[s] if s in memo else self.segment(s))
         return out
 
@@ -137,21 +134,22 @@ class StreamingViterbi:
     def _advance(self, part: str) -> list[int]:
         c, start = self.codec, len(self.text)
         self.text += part
-        text, last, ids = self.text, self.last, self.codec.ids
+        text, last, live, known, longest = self.text, self.last, c.live, c.pairs, c.longest
         for i in range(start + 1, len(text) + 1):
-            found = None
-            for j in range(max(0, i - c.longest), i):
+            for j in range(i - longest if i > longest else 0, i):
                 piece = text[j:i]
-                if piece in ids:
+                if piece in live:
                     before = last[j] if j else self.before
-                    if (j and before is None) or not c.stands(piece):
-                        continue
-                    if before is None or c.follows(before, piece):
-                        found = piece
+                    if before is None:
+                        if j:
+                            continue
+                        break
+                    ok = known.get((before, piece))
+                    if c.follows(before, piece) if ok is None else ok:
                         break
-            if found is None and text[i - 1] not in ids:
-                found = text[i - 1]
-            last.append(found)
+            else:
+                piece = None if text[i - 1] in c.ids else text[i - 1]
+            last.append(piece)
         return self._commit(self._meeting()) if len(text) >= STEP else []
 
     def _meeting(self) -> int:
