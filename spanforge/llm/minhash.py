@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace
+from .common import Workspace, only
 from .components import connected_components
 from .shingles import WordHashes, shingles, words_of
 
@@ -156,6 +156,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     clusters = work.stash(clusters.join(sizes, "cluster"), "sized")
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
+    texts = work.stash(only(texts, clusters.select("rep"), "rep"), "texts")
     edge = "a long, b long"
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
