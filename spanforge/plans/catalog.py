@@ -1,11 +1,294 @@
-"""Registry of the engine's queries; filled from the modules of this folder."""
+"""The registry of queries over the provided tables, each with the SQL that says the same."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import chars, patterns, text, unicode
+from ..functions.span import Span
+from ..operators import index, jsonx, spans, streams
+from ..schema import category
+from ..sources import facts as sources
+from ..sources.facts import table
+from ..streaming import events as streaming
+from .query import Query, Selected, query_by_predicate, query_by_span, query_high_confidence
 
-def oracle_sql() -> dict:
-    return {}
+ADAPTERS = {
+    "events": (sources.facts_from_events, sources.EVENTS_SQL),
+    "documents": (sources.facts_from_documents, sources.DOCUMENTS_SQL),
+    "lineitem": (sources.facts_from_lineitem, sources.LINEITEM_SQL),
+    "pages": (sources.facts_from_pages, sources.PAGES_SQL),
+}
+_queries: dict[str, Callable] = {}
+_sql: dict[str, str] = {}
+
+
+def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    run.__name__ = name
+    _queries[name] = run
+    if sql is not None:
+        _sql[name] = sql
+
+
+def facts_query(name: str, query: Query, adapter: str = "events") -> None:
+    """A fluent query: its plan and the SQL that it prints."""
+    load, sql = ADAPTERS[adapter]
+    register(name, lambda spark, d: query(load(spark, d)), f"WITH facts AS ({sql}) {query.to_sql()}")
+
+
+def on_facts(name: str, run: Callable[[DataFrame], DataFrame], sql: str, adapter: str = "events") -> None:
+    load, facts = ADAPTERS[adapter]
+    register(name, lambda spark, d: run(load(spark, d)), f"WITH facts AS ({facts}) {sql}")
+
+
+def on_table(name: str, source: str, run: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
+    register(name, lambda spark, d: run(table(spark, d, source)), sql)
+
+
+def shown(name: str, source: str, key: str, **columns) -> None:
+    """Columns over a table, each as a pair of a Spark expression (made when it is run) and SQL."""
+    keys = key.split()
+    sql = ", ".join([*keys, *(f"{s} AS {c}" for c, (_, s) in columns.items())])
+    on_table(name, source, lambda df: df.select(*keys, *[e().alias(c) for c, (e, _) in columns.items()]), f"SELECT {sql} FROM {source}")
+
+
+# Filters
+
+S = Selected
+facts_query("facts_demo_topk", Query().where("confidence", ">=", 0.8).order_by("confidence", True).limit(10))
+facts_query("facts_documents", Query(), "documents")
+facts_query("facts_lineitem_filter", Query().select("R").where("confidence", ">=", 0.5).where("span.length", ">", 40), "lineitem")
+facts_query("facts_pages_tags", Query().group_by("predicate", "value.text").select_fields(S("*", "count", "n")), "pages")
+facts_query("select_all", query_high_confidence(0.0).select_all())
+facts_query("where_cmp", Query().where("value.number", ">", 50).where("span.length", "!=", 7))
+facts_query("where_and", Query().where("confidence", ">=", 0.5).and_where("value.number", "<", 40).and_where("predicate", "=", "click"))
+facts_query("where_or_leftassoc", Query().where("confidence", ">=", 0.9).or_where("predicate", "=", "error").where("value.number", ">", 10))
+facts_query("where_not", Query().where_not("predicate", "=", "view").where_not("confidence", "<", 0.3))
+facts_query("where_in", Query().where_in("predicate", ["click", "signup"]))
+facts_query("where_not_in", Query().where("predicate", "not in", ["click", "signup"]))
+facts_query("where_between", Query().where_between("value.number", 10, 20))
+facts_query("where_not_between", Query().where("value.number", "not between", (10, 90)))
+facts_query("where_like", Query().where("predicate", "like", "%ic%"))
+facts_query("where_not_like", Query().where("predicate", "not like", "s%"))
+facts_query("where_is_null", Query().where("value.atom", "is null").where("confidence", ">", 0.9))
+facts_query("where_is_not_null", Query().where("value.number", "is not null").where("confidence", ">", 0.9))
+facts_query("where_span", query_by_span(86400, 864000))
+facts_query("where_predicate", query_by_predicate("purchase"))
+facts_query("where_predicate_any", Query().select("purchase", "error"))
+facts_query("where_subject", Query().where("subject", ">=", 864000 << 32).select_fields("id", "subject"))
+
+# Order, paging, projection, aggregates
+
+facts_query("order_multi", Query().order_by("predicate").order_by("confidence", True).limit(500))
+facts_query("limit_offset", Query().where("confidence", ">=", 0.5).order_by("value.number").limit(30).offset(50))
+facts_query("topk", Query().order_by("span.length", True).limit(25))
+facts_query("select_fields", Query().select_fields("id", S("span.length", alias="length"), S("confidence", alias="c"), "value.type", "generation").where("predicate", "=", "error"))
+for _agg, _field in (("count", "*"), ("sum", "value.number"), ("min", "confidence"), ("max", "span.end"), ("first", "value.number"), ("last", "predicate"), ("count_distinct", "source")):
+    facts_query(f"agg_{_agg}", Query().select_fields(S(_field, _agg, "result")))
+on_facts("agg_avg", lambda f: Query().select_fields(S("value.number", "avg", "result"))(f).select(F.round("result", 6).alias("result")), "SELECT round(avg(value_number), 6) AS result FROM facts")
+facts_query("group_multi", Query().group_by("predicate", "value.number").select_fields(S("*", "count", "n"), S("span.length", "max", "longest")))
+facts_query("group_first_last", Query().group_by("source").select_fields(S("predicate", "first", "first_predicate"), S("value.number", "last", "last_number")))
+facts_query("having", Query().group_by("source").select_fields(S("*", "count", "n")).having("count", "*", ">=", 3).order_by("source"))
+facts_query("having_max", Query().group_by("value.number").select_fields(S("span.length", "sum", "total")).having("max", "confidence", ">", 0.95))
+facts_query("first_row_per_group", Query().first_per_group("predicate", "value.number"))
+
+# Index paths
+
+facts_query("by_predicate", query_by_predicate("click"))
+on_facts("by_span", lambda f: index.by_span(f, 86400, 86450).select("id"), "SELECT id FROM facts WHERE span_start = 86400 AND span_end = 86450")
+on_facts("by_confidence", lambda f: index.by_confidence(f, 0.7, 0.75).select("id", "confidence"), "SELECT id, confidence FROM facts WHERE confidence BETWEEN 0.7 AND 0.75")
+on_facts("by_complex", lambda f: index.by_all(f, "error", None, (0.5, 1.0)).select("id"), "SELECT id FROM facts WHERE predicate = 'error' AND confidence BETWEEN 0.5 AND 1.0")
+on_facts("confidence_histogram", index.confidence_histogram, "SELECT CAST(least(floor(confidence * 10), 10) AS BIGINT) AS bucket, count(*) AS n FROM facts GROUP BY 1")
+_CATEGORY = "CASE WHEN predicate IN ('has_text') THEN 'lexical' WHEN predicate IN ('starts_block', 'ends_block') THEN 'structural' ELSE 'unknown' END"
+on_facts("category_rollup", index.category_rollup, f"SELECT category, predicate, count(*) AS n FROM (SELECT {_CATEGORY} AS category, predicate FROM facts) GROUP BY ROLLUP (category, predicate)", "documents")
+on_facts("category_of", lambda f: f.groupBy(category(F.col("predicate")).alias("category")).agg(F.sum(F.col("span_end") - F.col("span_start")).alias("total")), f"SELECT {_CATEGORY} AS category, CAST(sum(span_end - span_start) AS BIGINT) AS total FROM facts GROUP BY 1", "documents")
+facts_query("point_lookup", Query().where("id", "=", 77))
+facts_query("id_range", Query().where("id", ">=", 100).where("id", "<", 200))
+on_facts("store_append", lambda f: index.append(f.where("id <= 500"), f.where("id > 500 and predicate = 'error'"), "id", 2).select("id", "predicate", "generation", "value_number"), "SELECT id, predicate, generation, value_number FROM facts WHERE id <= 500 UNION ALL SELECT 500 + row_number() OVER (ORDER BY id), predicate, 2, value_number FROM facts WHERE id > 500 AND predicate = 'error'")
+on_facts("store_compact", lambda f: index.compact(f, 0.6).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")), "SELECT count(*) AS n, min(id) AS first_id FROM facts WHERE confidence >= 0.6")
+on_facts("store_stats", index.store_stats, "SELECT generation, count(*) AS n_facts, min(id) AS first_id, max(id) AS last_id FROM facts GROUP BY generation")
+
+# Span functions: a fact's span against another one made from it
+
+_A = lambda: Span.of("span_start", "span_end")
+_B = lambda: Span.of(F.col("span_start") + F.col("id") % 50 - 25, F.col("span_start") + F.col("id") % 50 - 25 + F.col("value_number"))
+_PAIR = f"(SELECT id, span_start AS s, span_end AS e, span_start + id % 50 - 25 AS bs, span_start + id % 50 - 25 + value_number AS be, span_start + value_number - 20 AS p FROM ({sources.EVENTS_SQL}))"
+_P = lambda: F.col("span_start") + F.col("value_number") - 20
+
+
+def span_query(name: str, **columns) -> None:
+    load, _ = ADAPTERS["events"]
+    sql = ", ".join(f"{s} AS {c}" for c, (_, s) in columns.items())
+    register(name, lambda spark, d: load(spark, d).select("id", *[e().alias(c) for c, (e, _) in columns.items()]), f"SELECT id, {sql} FROM {_PAIR}")
+
+
+def both(span: Callable[[], Span], start: str, end: str, prefix: str = "") -> dict:
+    return {f"{prefix}start_": (lambda: span().start, start), f"{prefix}end_": (lambda: span().end, end)}
+
+
+span_query("span_len", length=(lambda: _A().length(), "greatest(e - s, 0)"), is_empty=(lambda: _A().is_empty(), "s >= e"))
+span_query("span_contains", held=(lambda: _A().contains(_P()), "p >= s AND p < e"), spans=(lambda: _A().contains_span(_B()), "bs >= s AND be <= e"), same=(lambda: _A().equals(_B()), "s = bs AND e = be"))
+span_query("span_overlaps", overlaps=(lambda: _A().overlaps(_B()), "s < be AND bs < e"))
+span_query("span_merge", **both(lambda: _A().merge(_B()), "least(s, bs)", "greatest(e, be)"))
+span_query("span_intersect", start_=(lambda: _A().intersect(_B())["start"], "CASE WHEN greatest(s, bs) < least(e, be) THEN greatest(s, bs) END"), end_=(lambda: _A().intersect(_B())["end"], "CASE WHEN greatest(s, bs) < least(e, be) THEN least(e, be) END"))
+span_query("span_distance", distance=(lambda: _A().distance(_B()), "greatest(0, bs - e, s - be)"))
+span_query("span_before_after", before=(lambda: _A().before(_B()), "e <= bs"), after=(lambda: _A().after(_B()), "s >= be"))
+span_query("span_extend", **both(lambda: _A().extend(_P()), "least(s, p)", "greatest(e, p + 1)"))
+span_query("span_shrink", **both(lambda: _A().shrink(10), "CASE WHEN s + 10 < e - 10 THEN s + 10 ELSE 0 END", "CASE WHEN s + 10 < e - 10 THEN e - 10 ELSE 0 END"))
+span_query("span_expand", **both(lambda: _A().expand(100000), "greatest(s - 100000, 0)", "e + 100000"))
+span_query("span_shift", **both(lambda: _A().shift(-500000), "greatest(s - 500000, 0)", "greatest(e - 500000, 0)"))
+_cut = "greatest(least(p, e), s)"
+span_query("span_split", **both(lambda: _A().split(_P())[0], "s", _cut, "left_"), **both(lambda: _A().split(_P())[1], _cut, "e", "right_"))
+span_query("span_relpos", position=(lambda: F.round(_A().relative_position(_P()), 9), "round(coalesce(greatest(least((p - s)::DOUBLE / nullif(greatest(e - s, 0), 0), 1.0), 0.0), 0.0), 9)"))
+span_query("span_clamp_center", clamped=(lambda: _A().clamp(_P()), "least(greatest(p, s), e)"), center=(lambda: _A().center(), "s + greatest(e - s, 0) // 2"))
+span_query("span_pack_unpack", packed=(lambda: _A().pack(), "s * 4294967296 + greatest(e - s, 0)"), **both(lambda: Span.unpack(_A().pack()), "s", "s + greatest(e - s, 0)"))
+
+# Span sets: one per user
+
+_SET = lambda: (F.col("source"), F.col("span_start").alias("start"), (F.col("span_end") + F.col("value_number") * 600).alias("end"), F.col("id"), F.col("predicate"))
+_SET_SQL = "s AS (SELECT source, span_start AS start_, span_end + value_number * 600 AS end_, id, predicate FROM facts)"
+_ISLANDS = f"""{_SET_SQL},
+m AS (SELECT source, start_, end_, max(end_) OVER (PARTITION BY source ORDER BY start_, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM s WHERE start_ < end_),
+g AS (SELECT *, sum(CASE WHEN pm IS NULL OR pm < start_ THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY start_, end_ ROWS UNBOUNDED PRECEDING) AS island FROM m),
+n AS (SELECT source, min(start_) AS start_, max(end_) AS end_ FROM g GROUP BY source, island)"""
+
+
+def set_query(name: str, run: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    renamed = lambda df: df.select(*[F.col(c).alias({"start": "start_", "end": "end_"}.get(c, c)) for c in df.columns])
+    on_facts(name, lambda f: renamed(run(f.select(*_SET()))), "".join(sql))
+
+
+def _with(sql: str) -> str:
+    return f"SELECT * FROM (WITH {sql})"
+
+
+set_query("span_normalize", lambda s: spans.normalize(s, ["source"], 86400), _with(f"{_ISLANDS} SELECT source, start_, end_ FROM n"))
+set_query("span_coverage", lambda s: spans.coverage(s, ["source"]), _with(f"{_ISLANDS} SELECT source, CAST(sum(end_ - start_) AS BIGINT) AS covered, count(*) AS n_islands FROM n GROUP BY source"))
+set_query("span_hull", lambda s: spans.hull(s, ["source"]), _with(f"{_SET_SQL} SELECT source, min(start_) AS start_, max(end_) AS end_ FROM s WHERE start_ < end_ GROUP BY source"))
+set_query("span_remove", lambda s: spans.remove(s.where("predicate <> 'error'"), s.where("predicate = 'error'"), ["source"], 43200).select("source", "start", "end", "id"), _with(f"{_SET_SQL} SELECT source, start_, end_, id FROM s a WHERE predicate <> 'error' AND start_ < end_ AND NOT EXISTS (SELECT 1 FROM s b WHERE b.predicate = 'error' AND b.start_ < b.end_ AND a.source = b.source AND a.start_ < b.end_ AND b.start_ < a.end_)"))
+_JOIN = "FROM s a JOIN s b ON a.source = b.source AND a.predicate = 'click' AND b.predicate = 'error' AND a.start_ < a.end_ AND b.start_ < b.end_"
+set_query("span_overlap_join", lambda s: spans.overlap_join(s.where("predicate = 'click'"), s.where("predicate = 'error'"), ["source"], 43200).select("id", "r_id"), _with(f"{_SET_SQL} SELECT a.id, b.id AS r_id {_JOIN} AND a.start_ < b.end_ AND b.start_ < a.end_"))
+set_query("span_containment_join", lambda s: spans.overlap_join(s.where("predicate = 'click'"), s.where("predicate = 'error'"), ["source"], 43200, True).select("id", "r_id"), _with(f"{_SET_SQL} SELECT a.id, b.id AS r_id {_JOIN} AND b.start_ >= a.start_ AND b.end_ <= a.end_"))
+set_query("span_covering", lambda s: spans.covering(s, ["source"], 1000000), _with(f"{_SET_SQL} SELECT source, bool_or(start_ <= 1000000 AND 1000000 < end_) AS held FROM s GROUP BY source"))
+
+# Streams in the order of event_id
+
+on_table("stream_map", "events", lambda e: e.select("event_id", (F.col("value") * 2 + 1).alias("mapped")), "SELECT event_id, value * 2 + 1 AS mapped FROM events")
+on_table("stream_filter", "events", lambda e: e.where("event_id % 2 = 0 and value > 40").select("event_id", "value"), "SELECT event_id, value FROM events WHERE event_id % 2 = 0 AND value > 40")
+on_table("stream_take", "events", lambda e: streams.take(e, "event_id", 100).select("event_id", "event_type"), "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 100")
+on_table("stream_drop", "events", lambda e: streams.drop(e, "event_id", 9000).select("event_id", "event_type"), "SELECT event_id, event_type FROM events ORDER BY event_id OFFSET 9000")
+on_table("stream_batch", "events", lambda e: streams.batch(e, "event_id", 64, F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")), "SELECT batch, count(*) AS n_items, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 64 AS batch FROM events) GROUP BY batch")
+on_table("stream_merge", "events", lambda e: streams.merge(e.where("event_type = 'click'"), e.where("event_type = 'error'"), "event_id").select("event_id", "position"), "WITH r AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS side, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events WHERE event_type IN ('click', 'error')) SELECT event_id, row_number() OVER (ORDER BY CASE WHEN rn <= (SELECT min(m) FROM (SELECT max(rn) AS m FROM r GROUP BY side)) THEN rn ELSE rn END, side) - 1 AS position FROM r")
+on_table("stream_last_n", "events", lambda e: streams.last_n(e, ["user_id"], "event_id", 3).select("user_id", "event_id"), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3")
+on_table("stream_count", "events", lambda e: e.agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM events")
+on_table("stream_dedupe", "events", lambda e: streams.first_of(e, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id"), "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+
+# Text, characters, patterns, unicode
+
+_T = lambda: F.col("text")
+_U = lambda: F.col("url")
+shown("line_count", "documents", "doc_id", n_lines=(lambda: text.count_lines(_T()), "CAST(len(string_split(text, chr(10))) AS BIGINT)"))
+shown("nonblank_lines", "documents", "doc_id", n=(lambda: text.count_non_empty_lines(_T()), r"CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) AS BIGINT)"))
+shown("lines_prefix", "documents", "doc_id", n=(lambda: F.size(text.lines_with_prefix(_T(), "Th")).cast("bigint"), "CAST(len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, 'Th'))) AS BIGINT)"))
+shown("lines_containing", "documents", "doc_id", found=(lambda: F.array_join(text.lines_containing(_T(), "tion"), "|"), "array_to_string(list_filter(string_split(text, chr(10)), lambda x: contains(x, 'tion')), '|')"))
+shown("trim_sets", "documents", "doc_id", trimmed=(lambda: text.trim_all(F.substring(_T(), 3, 12)), r"trim(substr(text, 3, 12), ' ' || chr(9) || chr(13) || chr(10))"), blank=(lambda: text.is_blank(F.substring(_T(), 3, 1)), r"trim(substr(text, 3, 1), ' ' || chr(9) || chr(13) || chr(10)) = ''"))
+shown("split_trim", "documents", "doc_id", n=(lambda: F.size(text.parse_comma_separated(_T())).cast("bigint"), r"CAST(len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x <> '')) AS BIGINT)"))
+shown("count_char", "documents", "doc_id", n=(lambda: text.count_char(_T(), "e"), "CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT)"))
+shown("count_balance", "pages", "page_id", n=(lambda: text.count_balance(F.col("html"), "<", ">"), "CAST((length(html) - length(replace(html, '<', ''))) - (length(html) - length(replace(html, '>', ''))) AS BIGINT)"))
+shown("extract_between", "pages", "page_id", title=(lambda: text.extract_between(F.col("html"), "<title>", "</title>"), "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"), n_links=(lambda: F.size(text.extract_all_between(F.col("html"), "<a ", "</a>")).cast("bigint"), "CAST(len(regexp_extract_all(html, '(?s)<a (.*?)</a>', 1)) AS BIGINT)"))
+shown("indent_level", "events", "event_id", level=(lambda: text.indent_level(F.concat(F.repeat(F.lit(" "), (F.col("event_id") % 13).cast("int")), F.lit("x"))), "CAST((event_id % 13) // 4 AS BIGINT)"))
+shown("strip_ansi", "events", "event_id", plain=(lambda: text.strip_ansi(F.concat(F.lit("\x1b[1;31m"), "event_type", F.lit("\x1b[0m"))), "regexp_replace(chr(27) || '[1;31m' || event_type || chr(27) || '[0m', chr(27) || '\\[[^A-Za-z]*[A-Za-z]', '', 'g')"))
+shown("pad", "events", "event_id", right_=(lambda: text.pad_right(F.col("event_type"), 6, "."), "CASE WHEN length(event_type) >= 6 THEN event_type ELSE rpad(event_type, 6, '.') END"), left_=(lambda: text.pad_left(F.col("event_type"), 6), "CASE WHEN length(event_type) >= 6 THEN event_type ELSE lpad(event_type, 6, ' ') END"))
+shown("fence_len", "documents", "doc_id", n=(lambda: text.fence_length(F.concat("text", F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int")))), "CAST(greatest(3, coalesce(list_max(list_transform(regexp_extract_all(text || repeat('`', CAST(doc_id % 6 AS INTEGER)), '(`+)', 1), lambda x: length(x))), 0) + 1) AS BIGINT)"))
+shown("comment_lines", "documents", "doc_id", is_c=(lambda: text.is_comment(F.concat(F.lit("  // "), "lang"), "c"), "true"), is_hash=(lambda: text.is_comment(F.col("lang"), "hash"), "starts_with(lang, '#')"))
+shown("extract_lines", "documents", "doc_id", kept=(lambda: text.extract_lines(_T(), ["The", "Th"]), r"array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: starts_with(ltrim(x, ' ' || chr(9)), 'Th')), lambda x: x || chr(10)), '')"))
+_ESCAPED = "text"
+for _a, _b in (("'\\'", "'\\\\'"), ("chr(34)", "'\\' || chr(34)"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'")):
+    _ESCAPED = f"replace({_ESCAPED}, {_a}, {_b})"
+shown("escape_json", "documents", "doc_id", size=(lambda: F.length(text.escape(_T(), "json")).cast("bigint"), f"CAST(length({_ESCAPED}) AS BIGINT)"))
+shown("escape_html", "pages", "page_id", size=(lambda: F.length(text.escape(F.col("html"), "html")).cast("bigint"), "CAST(length(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS BIGINT)"))
+shown("quotes", "events", "event_id", style=(lambda: text.quote_style(text.add_quotes(F.col("event_type"), "single")), "'single'"), converted=(lambda: text.convert_quotes(F.concat(F.lit("'"), "event_type", F.lit("'")), "double"), "'\"' || event_type || '\"'"))
+shown("repeat_join", "events", "event_id", echoed=(lambda: text.repeat_join(F.col("event_type"), 3, "-"), "event_type || '-' || event_type || '-' || event_type"))
+shown("char_classes", "documents", "doc_id", digits=(lambda: chars.count_class(_T(), "digit"), "CAST(len(regexp_extract_all(text, '[0-9]')) AS BIGINT)"), upper=(lambda: chars.count_class(_T(), "upper"), "CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT)"), delimiters=(lambda: chars.count_class(_T(), "delimiter"), r"CAST(len(regexp_extract_all(text, '[(){}\[\];:,.]')) AS BIGINT)"))
+shown("consumers", "events", "event_id", identifier=(lambda: chars.consume(F.concat("event_type", F.lit("_1 x")), "identifier"), "CAST(length(event_type) + 2 AS BIGINT)"), number=(lambda: chars.consume(F.concat(F.col("event_id").cast("string"), F.lit(".5e3x")), "number"), "CAST(length(CAST(event_id AS VARCHAR)) + 4 AS BIGINT)"))
+shown("glob_match", "pages", "page_id", news=(lambda: patterns.matches_glob(_U(), "https://*.example.???/[a-m]*"), r"regexp_matches(url, '(?s)^https://.*\.example\....' || '/[a-m].*$')"), any_=(lambda: patterns.matches_any_glob(_U(), ["*#top", "*/"]), "url LIKE '%#top' OR url LIKE '%/'"))
+shown("path_component", "pages", "page_id", en=(lambda: patterns.has_component(_U(), "en"), "list_contains(string_split(url, '/'), 'en')"), sub=(lambda: patterns.contains_subpath(_U(), "en/25"), "contains('/' || url || '/', '/en/25/')"), base=(lambda: patterns.basename(_U()), "list_last(string_split(url, '/'))"), dir=(lambda: patterns.dirname(_U()), "regexp_replace(url, '/[^/]*$', '')"))
+shown("gitignore", "pages", "page_id", ignored=(lambda: patterns.ignored(_U(), ["# rules", "en/", "de", "*.html"]), "contains('/' || url, '/en/') OR contains('/' || url || '/', '/de/') OR url LIKE '%.html'"))
+shown("include_exclude", "pages", "page_id", taken=(lambda: patterns.included(_U(), ["https://m*"], ["*/de/*"]), "url LIKE 'https://m%' AND NOT url LIKE '%/de/%'"))
+shown("ext_language", "pages", "page_id", language=(lambda: patterns.language(F.concat(F.lit("a/b"), F.element_at(F.array(*map(F.lit, (".ts", ".zig", ".json", ".txt"))), (F.col("page_id") % 4 + 1).cast("int")))), "CASE page_id % 4 WHEN 0 THEN 'typescript' WHEN 1 THEN 'zig' WHEN 2 THEN 'json' ELSE 'unknown' END"))
+_V = lambda: F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string"), F.lit("."), (F.col("event_id") % 11).cast("string"), F.lit("."), (F.col("event_id") % 5).cast("string"), F.when(F.col("event_id") % 2 == 0, F.lit("-rc.1+b7")).otherwise(""))
+on_table("semver_order", "events", lambda e: e.select("event_id", patterns.semver_key(_V()).alias("k")).orderBy("k", "event_id").limit(200).select("event_id", "k.major", "k.minor", "k.patch", "k.prerelease"), "SELECT event_id, event_id % 3 AS major, event_id % 11 AS minor, event_id % 5 AS patch, CASE WHEN event_id % 2 = 0 THEN 'rc.1' ELSE '' END AS prerelease FROM events ORDER BY major, minor, patch, prerelease = '', prerelease, event_id LIMIT 200")
+shown("dependency_status", "events", "event_id", status=(lambda: patterns.dependency_status(F.lit("v1.2.0"), F.when(F.col("event_id") % 3 == 1, "1.2.0").when(F.col("event_id") % 3 == 2, "1.1.0")), "CASE event_id % 3 WHEN 1 THEN 'up_to_date' WHEN 2 THEN 'needs_update' ELSE 'missing' END"))
+shown("control_chars", "documents", "doc_id", valid=(lambda: unicode.is_valid(_T()), r"NOT regexp_matches(text, '[\x00-\x08\x0B-\x1F\x7F-\x{9F}\x{FDD0}-\x{FDEF}\x{FFFE}\x{FFFF}]') AND NOT starts_with(text, chr(65279))"), n=(lambda: unicode.count_rejected(F.concat("text", F.lit("\r\x00\x07")), "sanitize"), "CAST(len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}\\x{FDD0}-\\x{FDEF}\\x{FFFE}\\x{FFFF}]')) + 2 AS BIGINT)"))
+shown("sanitize", "documents", "doc_id", clean=(lambda: F.substring(unicode.sanitize(F.concat(F.lit("a\rb"), "text")), 1, 20), "substr('a' || chr(65533) || 'b' || regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{9F}]', chr(65533), 'g'), 1, 20)"))
+shown("code_points", "documents", "doc_id", first_=(lambda: unicode.classify(F.ascii("text")), "CASE WHEN unicode(text) < 32 OR unicode(text) BETWEEN 127 AND 159 THEN 'control' WHEN unicode(text) < 128 THEN 'ascii' ELSE 'other' END"), width=(lambda: unicode.utf8_length(F.ascii("text")), "CASE WHEN unicode(text) < 128 THEN 1 WHEN unicode(text) < 2048 THEN 2 WHEN unicode(text) < 65536 THEN 3 ELSE 4 END"))
+shown("durations", "events", "event_id", ns=(lambda: patterns.parse_duration_ns(F.concat(F.col("event_id").cast("string"), F.lit("ms"))), "event_id * 1000000"), shown_=(lambda: text.format_time(F.col("event_id") % 1000 * 1000000), "CASE WHEN event_id % 1000 = 0 THEN '0ns' ELSE printf('%.2fms', (event_id % 1000)::DOUBLE) END"))
+shown("error_classes", "events", "event_id", class_=(lambda: patterns.error_class(F.concat("event_type", F.lit(" not found"))), "'not_found'"), retry=(lambda: patterns.retryable(F.col("event_type")), "false"))
+
+# Atoms
+
+on_table("atom_intern", "documents", lambda d: index.intern(d, "source", "doc_id"), "SELECT row_number() OVER (ORDER BY f, text) AS atom_id, text, n FROM (SELECT source AS text, min(doc_id) AS f, count(*) AS n FROM documents GROUP BY source)")
+on_table("atom_lookup", "documents", lambda d: index.lookup(d, index.intern(d.where("doc_id < 20"), "source", "doc_id"), "source").select("doc_id", "atom_id"), "WITH a AS (SELECT row_number() OVER (ORDER BY f, text) AS atom_id, text FROM (SELECT source AS text, min(doc_id) AS f FROM documents WHERE doc_id < 20 GROUP BY source)) SELECT doc_id, coalesce(atom_id, 0) AS atom_id FROM documents LEFT JOIN a ON source = a.text")
+on_table("atom_efficiency", "documents", lambda d: index.interning_efficiency(d, "source"), "SELECT 1 - count(DISTINCT source)::DOUBLE / count(source) AS efficiency FROM documents")
+
+# JSON
+
+_J = lambda: F.col("props")
+_NESTED = lambda: F.concat(F.lit('{"a": [1, {"b": '), "props", F.lit('}], "c": "x", "c": 2}'))
+shown("json_kind", "events", "event_id", kind=(lambda: jsonx.kind(_J()), "lower(json_type(props))"))
+shown("json_keys", "events", "event_id", keys=(lambda: F.array_join(F.json_object_keys("props"), ","), "array_to_string(json_keys(props), ',')"), repeated=(lambda: jsonx.top_level_duplicates(_J()), "false"))
+shown("json_number", "events", "event_id", k=(lambda: F.get_json_object("props", "$.k").cast("bigint"), "CAST(json_extract_string(props, '$.k') AS BIGINT)"))
+on_table("json_stats", "events", lambda e: jsonx.statistics_table(e.select("event_id", "props"), "props"), "SELECT event_id, 1 AS max_depth, 1 AS total_keys, 1 AS total_values, 1 AS objects, 0 AS arrays, 0 AS strings, 1 AS numbers, 0 AS booleans, 0 AS nulls, CAST(2 * length(props) - 2 + length(json_extract_string(props, '$.k')) AS BIGINT) AS size_bytes, 5.65::DOUBLE AS complexity FROM events")
+on_table("json_complexity", "events", lambda e: jsonx.statistics_table(e.select("event_id", _NESTED().alias("doc")), "doc").select("event_id", "max_depth", "total_keys", F.round("complexity", 6).alias("complexity")), "SELECT event_id, 4 AS max_depth, 5 AS total_keys, round(6.0 + 0.5 + 0.05 * 7 + 2.0 * 4, 6) AS complexity FROM events")
+shown("json_schema", "events", "event_id", schema=(lambda: jsonx.schema_column(_NESTED()), "'{a: [any], c: number}'"))
+on_table("json_lint", "events", lambda e: jsonx.lint_table(e.select("event_id", _NESTED().alias("doc")), "doc").select("event_id", "rule", "severity", "span_start"), "SELECT event_id, 'no_duplicate_keys' AS rule, 'err' AS severity, CAST(length(props) + 30 AS BIGINT) AS span_start FROM events")
+on_table("json_symbols", "events", lambda e: jsonx.symbols_table(e.select("event_id", "props"), "props").select("event_id", "name", "kind", "span_start"), "SELECT event_id, 'root' AS name, 'object' AS kind, 0::BIGINT AS span_start FROM events UNION ALL SELECT event_id, 'k', 'property', 1 FROM events UNION ALL SELECT event_id, 'k', 'number', 6 FROM events")
+on_table("json_facts", "events", lambda e: jsonx.facts_table(e.select("event_id", "props"), "props").select("event_id", "id", "predicate", "span_start", "span_end"), "SELECT event_id, 0::BIGINT AS id, 'starts_block' AS predicate, 0::BIGINT AS span_start, length(props)::BIGINT AS span_end FROM events UNION ALL SELECT event_id, 1, 'is_number', 1, length(props) - 1 FROM events")
+on_table("json_tokens", "events", lambda e: jsonx.tokens_table(e.select("event_id", "props"), "props").groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT kind, (SELECT count(*) FROM events) AS n FROM (VALUES ('object_start'), ('property_name'), ('colon'), ('number_value'), ('object_end')) t(kind)")
+shown("json_format", "events", "event_id", laid_out=(lambda: jsonx.format_column(_J()), "'{' || chr(10) || '  \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '}'"))
+
+# Joins and references
+
+on_facts("fact_self_join", lambda f: index.references(f.withColumn("value_ref", F.when(F.col("id") > 10, F.col("id") - F.col("value_number") % 10))).select("id", "value_ref", "ref_predicate"), "SELECT a.id, b.id AS value_ref, b.predicate AS ref_predicate FROM facts a JOIN facts b ON a.id > 10 AND b.id = a.id - a.value_number % 10")
+
+
+def _tables(name: str, run: Callable[..., DataFrame], names: str, sql: str) -> None:
+    register(name, lambda spark, d: run(*[table(spark, d, n) for n in names.split()]), sql)
+
+
+_tables("join_inner", lambda o, c: o.join(c, o.o_custkey == c.c_custkey).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")), "orders customer", "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+_tables("join_left", lambda c, o: c.join(o, o.o_custkey == c.c_custkey, "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n")), "customer orders", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+_tables("join_semi", lambda p, li: p.join(li.where("l_quantity >= 49"), p.p_partkey == li.l_partkey, "left_semi").select("p_partkey"), "part lineitem", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+_tables("join_anti", lambda c, o: c.join(o, o.o_custkey == c.c_custkey, "left_anti").select("c_custkey"), "customer orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_tables("join_asof", lambda e: index.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("value").alias("value")), ["user_id"], "ts", ["value"]).select("event_id", F.col("value").alias("click_value")), "events", "WITH c AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT event_id, c.value AS click_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts")
+_tables("set_operations", lambda e: e.where("value > 90").select("user_id").intersect(e.where("value < 10").select("user_id")).exceptAll(e.where("event_type = 'signup'").select("user_id").distinct()), "events", "(SELECT user_id FROM events WHERE value > 90 INTERSECT SELECT user_id FROM events WHERE value < 10) EXCEPT SELECT user_id FROM events WHERE event_type = 'signup'")
+_tables("cube", lambda e: e.cube("event_type", (F.col("user_id") % 3).alias("g")).agg(F.count(F.lit(1)).alias("n")), "events", "SELECT event_type, g, count(*) AS n FROM (SELECT event_type, user_id % 3 AS g FROM events) GROUP BY CUBE (event_type, g)")
+
+# Structured Streaming, over the files that are there
+
+
+def _streamed(name: str, run: Callable[[DataFrame], DataFrame], mode: str, sql: str) -> None:
+    register(name, lambda spark, d: streaming.run_now(run(streaming.read_events(spark, d)), name, mode), sql)
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Times as seconds, so that no zone matters."""
+    return df.withColumn("start", F.unix_seconds("start"))
+
+
+_streamed("stream_filter_append", lambda s: streaming.filtered(s, 95.0), "append", "SELECT event_id, user_id, event_type, value FROM events WHERE value >= 95.0")
+_streamed("stream_tumbling", lambda s: _plain(streaming.tumbling(s)).withColumn("total", F.round("total", 4)), "complete", "SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+_streamed("stream_sliding", lambda s: _plain(streaming.sliding(s)), "complete", "SELECT start, count(*) AS n FROM (SELECT unnest([CAST(floor(epoch(ts) / 43200) * 43200 AS BIGINT), CAST(floor(epoch(ts) / 43200) * 43200 AS BIGINT) - 43200]) AS start FROM events) GROUP BY 1")
+_streamed("stream_sessions", lambda s: _plain(streaming.sessions(s)), "complete", "WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM i GROUP BY user_id, k")
+_streamed("stream_dedupe_watermark", streaming.deduplicated, "append", "SELECT DISTINCT user_id, event_type FROM events")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)

@@ -37,7 +37,7 @@ EVENTS_SQL = """
 SELECT event_id + 1 AS id, CAST(user_id AS VARCHAR) AS source, date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) AS span_start,
   date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) + CAST(floor(value) AS BIGINT) AS span_end, event_type AS predicate,
   least(value / 100, 1.0) AS confidence, 'number' AS value_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS value_number,
-  value AS value_float, 1 AS generation
+  value AS value_float, CAST(NULL AS INTEGER) AS value_atom, 1 AS generation
 FROM events
 """
 
