@@ -175,7 +175,9 @@ def parse(text: str) -> tuple[Node | None, list[tuple[int, int, str]]]:
             continue
         if t.kind == "err":
             bad(t, ERRORS[t.error])
-            if state == "value":
+            if state == "value" and (stack or root is None):
+                # a place holder, so that one error doesn't make others
+                place(Node("null", t.start, t.end, "null"))
                 state = done(t.end)
             continue
         if t.kind in ("object_end", "array_end"):
