@@ -36,8 +36,8 @@ def small(df: DataFrame, most: int) -> DataFrame:
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
-    """Distinct items with words: item, item_id, item_words, width of a window."""
-    out = items.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("item_words")).where(F.size("item_words") > 0)
+    """Distinct items with an id and words: item, item_id, item_words, width of a window."""
+    out = items.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("item_words")).where(F.col("item_id").isNotNull() & (F.size("item_words") > 0))
     out = out.distinct().withColumn("item", F.xxhash64("item_id", "item_words"))
     return out.withColumn("width", F.least(F.lit(n), F.size("item_words")))
 
@@ -98,8 +98,8 @@ def _windows_on(c: Column, text_words: Column) -> Column:
 def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, rarest: int = 3) -> DataFrame:
     """Every row of docs with words (array), and hits: array of (start, end, item_id) in words, end exclusive.
 
-    A hit is an occurrence of n consecutive words of an item, or of a whole item of fewer words. Items without
-    words, null texts and empty tables give no hits. Rows that share a doc_id, a null one included, are
+    A hit is an occurrence of n consecutive words of an item, or of a whole item of fewer words. Items without id
+    or words, null texts and empty tables give no hits. Rows that share a doc_id, a null one included, are
     matched each against its own text. docs keeps its columns; `words` and `hits` are added (an error if there).
     """
     if taken := {"words", "hits"} & {c.lower() for c in docs.columns}:

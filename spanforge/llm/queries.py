@@ -91,8 +91,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+QUERIES = (
+    op1_substring_dedup, op2_sentencepiece, op3_histogram_sort, op4_warc, op5_minhash, op6_ann, op7_html_text, op8_token_counts, op9_toxicity,
+    op10_decontamination,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op4_warc, op5_minhash, op6_ann, op7_html_text, op9_toxicity, op3_histogram_sort, op8_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
