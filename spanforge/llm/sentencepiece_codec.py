@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MEMO, MEMO_CHARS = 500_000, 64
+MEMO, MEMO_CHARS, PAIRS = 500_000, 64, 2_000_000
 STEP = 64
+ANY, NONE = -1, -2
 
 
 class Codec:
@@ -45,14 +46,25 @@ class Codec:
         inside = {m for t in self.ids for m in re.findall(r"(?<=[^\W_])[\W_]", t)}
         ends = re.escape("".join(c for c in map(chr, range(128)) if not c.isalnum() and c not in inside))
         self.segments = re.compile(f"{SPACE}*[^\\W_]+(?=[{ends}{SPACE}]|\\Z)|{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.live = {t for t in self.ids if self.merge(t) == [t]}
+        # pieces that are their own encoding, as a trie: char -> (node below, piece that ends here or NONE)
+        self.live = {t: i for t, i in self.ids.items() if self.merge(t) == [t]}
+        self.root: dict[str, tuple[dict, int]] = {}
+        for t, i in self.live.items():
+            node = self.root
+            for c in t[:-1]:
+                node = node.setdefault(c, ({}, NONE))[0]
+            node[t[-1]] = (node[t[-1]][0] if t[-1] in node else {}, i)
+        if any(piece == NONE for _, piece in self.root.values()):
+            raise ValueError("a piece begins with a character that is no piece: prefixes would have no path")
         high = {i for b, i in self.bytes.items() if b >= 128}
         self.high = high
         shown = {i: chr(b) for b, i in self.bytes.items() if b < 128}
         self.shown = [shown.get(i, "" if model.is_control(i) else self.texts[i].replace(SPACE, " ")) for i in range(self.size)]
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair encoding of a short text: best score first, leftmost among equals."""
@@ -68,31 +80,30 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, before: str, piece: str) -> bool:
+    def follows(self, before: int, piece: int) -> bool:
         """Whether two pieces stay apart where they meet."""
-        ok = self.pairs.get((before, piece))
-        if ok is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            ok = self.pairs[before, piece] = self.merge(before + piece) == [before, piece]
+        self.n_pairs += 1
+        if self.n_pairs > PAIRS:
+            self.pairs, self.n_pairs = {}, 1
+        a, b = self.texts[before], self.texts[piece]
+        ok = self.pairs.setdefault(before, {})[piece] = self.merge(a + b) == [a, b]
         return ok
 
-    def ids_of(self, piece: str) -> list[int]:
-        """The id of a piece, or those of the bytes of a character without one."""
-        if (i := self.ids.get(piece)) is not None:
-            return [i]
-        found = [self.bytes.get(b) for b in piece.encode("utf-8", "surrogatepass")]
+    def bytes_of(self, char: str) -> list[int]:
+        """The ids of a character without a piece: its bytes, or the unknown one."""
+        found = [self.bytes.get(b) for b in char.encode("utf-8", "surrogatepass")]
         return [self.unknown] if None in found else found
 
     def segment(self, text: str) -> tuple[int, ...]:
-        got = self.memo.get(text)
-        if got is None:
+        """The ids of a segment, remembered if it is short; what isn't asked for is forgotten in two steps."""
+        if (got := self.old.get(text)) is None:
             search = StreamingViterbi(self)
-            got = (*search.feed(text), *search.finish())
-            if len(text) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[text] = got
+            # a short segment is left to the end
+            got = (*(search.feed(text) if len(text) > STEP else search.take(text)), *search.finish())
+        if len(text) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO:
+                self.old, self.memo = self.memo, {}
+            self.memo[text] = got
         return got
 
     def encode(self, text: str | None) -> list[int]:
@@ -100,9 +111,10 @@ class Codec:
         if not text:
             return []
         out: list[int] = []
-        memo, extend = self.memo, out.extend
+        extend = out.extend
         for s in self.segments.findall(SPACE + text.replace(" ", SPACE)):
-            extend(memo[s] if s in memo else self.segment(s))
+            got = self.memo.get(s)
+            extend(self.segment(s) if got is None else got)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -121,60 +133,82 @@ class StreamingViterbi:
     def __init__(self, codec: Codec):
         self.codec = codec
         self.text = ""  # from the last committed boundary on
-        self.last: list[str | None] = [None]  # the last piece before each boundary of text
-        self.before: str | None = None  # the last committed piece
+        # for each boundary of text: the last piece before it (ANY: a character without a piece, or the start,
+        # which anything may follow; NONE: no path) and where that piece begins
+        self.last, self.back = [ANY], [0]
+        self.at = 0  # pieces that begin before this boundary have been tried
 
     def feed(self, part: str) -> list[int]:
         """Ids committed by these characters."""
         out: list[int] = []
         for i in range(0, len(part), STEP):
-            out += self._advance(part[i : i + STEP])
+            self._add(part[i : i + STEP])
+            self._search(len(self.text) - self.codec.longest + 1)
+            if self.at >= STEP:
+                out += self._commit(self._meeting())
         return out
 
-    def _advance(self, part: str) -> list[int]:
-        c, start = self.codec, len(self.text)
+    def take(self, part: str) -> list[int]:
+        """Add characters without looking for ids to commit."""
+        self._add(part)
+        return []
+
+    def finish(self) -> list[int]:
+        """The ids that are left."""
+        self._search(len(self.text))
+        return self._commit(len(self.text))
+
+    def _add(self, part: str) -> None:
         self.text += part
-        text, last, live, known, longest = self.text, self.last, c.live, c.pairs, c.longest
-        for i in range(start + 1, len(text) + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                piece = text[j:i]
-                if piece in live:
-                    before = last[j] if j else self.before
-                    if before is None:
-                        if j:
+        self.last += [NONE] * len(part)
+        self.back += [0] * len(part)
+
+    def _search(self, until: int) -> None:
+        """Try the pieces that begin at the boundaries before `until`."""
+        c, text, last, back = self.codec, self.text, self.last, self.back
+        pairs, root, nothing = c.pairs, c.root, {}
+        for j in range(self.at, until):
+            before = last[j]
+            if before == NONE:
+                continue
+            known, node, i = pairs.get(before, nothing), root, j
+            for char in text[j : j + c.longest]:
+                if (below := node.get(char)) is None:
+                    if i == j:  # a character without a piece
+                        last[j + 1], back[j + 1] = ANY, j
+                    break
+                i += 1
+                node, piece = below
+                if piece >= 0:
+                    if before >= 0:
+                        ok = known.get(piece)
+                        if not (c.follows(before, piece) if ok is None else ok):
                             continue
-                        break
-                    ok = known.get((before, piece))
-                    if c.follows(before, piece) if ok is None else ok:
-                        break
-            else:
-                piece = None if text[i - 1] in c.ids else text[i - 1]
-            last.append(piece)
-        return self._commit(self._meeting()) if len(text) >= STEP else []
+                    last[i], back[i] = piece, j
+        self.at = max(self.at, until)
 
     def _meeting(self) -> int:
-        """The last boundary that the paths of all boundaries in the window share."""
-        n = len(self.text)
-        alive = {i for i in range(max(0, n - self.codec.longest + 1), n + 1) if i == 0 or self.last[i] is not None}
+        """The last boundary that the paths of all boundaries reached share."""
+        alive = {i for i in range(self.at, len(self.text) + 1) if self.last[i] != NONE}
         while len(alive) > 1:
             i = max(alive)
             alive.remove(i)
-            alive.add(i - len(self.last[i]))
+            alive.add(self.back[i])
         return alive.pop()
 
     def _commit(self, end: int) -> list[int]:
-        pieces, i = [], end
+        out, i, last, back = [], end, self.last, self.back
         while i > 0:
-            pieces.append(self.last[i])
-            i -= len(self.last[i])
-        pieces.reverse()
-        if pieces:
-            self.before = pieces[-1]
-        self.text, self.last = self.text[end:], [None, *self.last[end + 1 :]]
-        return [i for p in pieces for i in self.codec.ids_of(p)]
-
-    def finish(self) -> list[int]:
-        return self._commit(len(self.text)) if self.text else []
+            j, piece = back[i], last[i]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += reversed(self.codec.bytes_of(self.text[j:i]))
+            i = j
+        out.reverse()
+        self.text, self.last, self.back = self.text[end:], last[end:], [max(0, j - end) for j in back[end:]]
+        self.at -= end
+        return out
 
 
 _codecs: dict[str, Codec] = {}
