@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import Workspace
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the published pre-tokenization pattern of this vocabulary.
@@ -55,7 +57,8 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens", block: int =
     total_docs and total_tokens. An empty table gives no rows. Suffix sums run inside blocks of lengths and
     over one total per block, so no task holds more than `block` lengths or the list of blocks.
     """
-    hist = lengths.groupBy(F.col(column).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    work = Workspace(lengths.sparkSession, "token-counts")
+    hist = work.stash(lengths.groupBy(F.col(column).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")), "histogram")
     hist = hist.withColumn("_block", F.floor(F.col("n_tokens") / block)).withColumn("_tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = hist.groupBy("_block").agg(F.sum("n_docs").alias("_docs"), F.sum("_tokens").alias("_sum"))
     above = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
