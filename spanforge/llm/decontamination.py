@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace
+from .common import Workspace, fresh, small
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,11 +30,6 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows; else the join is left to shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def item_windows(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
     """Distinct items with an id and words: item, item_id, item_words, width of a window."""
     out = items.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("item_words")).where(F.col("item_id").isNotNull() & (F.size("item_words") > 0))
@@ -100,10 +95,10 @@ def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
 
     A hit is an occurrence of n consecutive words of an item, or of a whole item of fewer words. Items without id
     or words, null texts and empty tables give no hits. Rows that share a doc_id, a null one included, are
-    matched each against its own text. docs keeps its columns; `words` and `hits` are added (an error if there).
+    matched each against its own text. docs keeps its columns; words and hits come last, with an underscore
+    before a name that docs has.
     """
-    if taken := {"words", "hits"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(taken)} are there already")
+    words_name, hits_name, doc, lined_name = fresh(docs, "words", "hits", "doc", "lined")
     work = Workspace(docs.sparkSession, "decontamination")
     wanted = work.stash(item_windows(items, item_id, item_text, n), "items")
     terms = wanted.select(F.explode("item_words").alias("term")).distinct()
@@ -112,17 +107,17 @@ def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
     index = work.stash(postings(docs, anchors.select("term").distinct(), doc_id, text), "postings")
     lined = diagonals(index, anchors).join(wanted, "item")
     one = F.struct("diagonal", "item_id", "item_words", "width")
-    found = work.stash(lined.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(one).alias("_lined")), "candidates")
-    texts = docs.withColumn("words", words(F.col(text)))
-    joined = texts.join(small(found, BROADCAST_CANDIDATES), F.col(doc_id).eqNullSafe(F.col("_doc")), "left")
-    hits = F.flatten(F.transform(F.col("_lined"), lambda c: _windows_on(c, F.col("words"))))
-    empty = F.from_json(F.lit("[]"), found.select(hits_type(found)).schema[0].dataType)
-    return joined.withColumn("hits", F.coalesce(hits, empty)).drop("_doc", "_lined")
+    found = work.stash(lined.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(one).alias(lined_name)), "candidates")
+    texts = docs.withColumn(words_name, words(F.col(text)))
+    joined = texts.join(small(found, BROADCAST_CANDIDATES), F.col(doc_id).eqNullSafe(F.col(doc)), "left")
+    hits = F.flatten(F.transform(F.col(lined_name), lambda c: _windows_on(c, F.col(words_name))))
+    empty = F.from_json(F.lit("[]"), found.select(hits_type(lined_name)).schema[0].dataType)
+    return joined.withColumn(hits_name, F.coalesce(hits, empty)).drop(doc, lined_name)
 
 
-def hits_type(found: DataFrame) -> Column:
+def hits_type(lined: str) -> Column:
     """An expression of the type of hits, for the empty case."""
-    c = F.col("_lined")[0]
+    c = F.col(lined)[0]
     return F.array(F.struct(c["diagonal"].alias("start"), c["diagonal"].alias("end"), c["item_id"].alias("item_id")))
 
 

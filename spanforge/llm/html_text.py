@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # Thresholds of the rules, in characters and shares.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.30, 0.32, 0.2
 
@@ -207,7 +209,8 @@ def main_text(page: Column) -> Column:
 
 
 def extract_pages(pages: DataFrame, html: str = "html", column: str = "text") -> DataFrame:
-    """pages with the main text in a further column (an error if it is there); repeated rows stay repeated."""
-    if column.lower() in {c.lower() for c in pages.columns}:
-        raise ValueError(f"column {column} is there already")
-    return pages.withColumn(column, main_text(F.col(html)))
+    """pages with the main text in a last column, with an underscore before its name if pages has it.
+
+    Null pages have an empty text; repeated rows stay repeated.
+    """
+    return pages.withColumn(fresh(pages, column)[0], main_text(F.col(html)))

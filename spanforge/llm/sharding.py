@@ -131,13 +131,11 @@ def histogram_sort_shards(df: DataFrame, n_shards: int, key: str = "doc_id", siz
     key: a column of integers; a null key comes first. size: bytes of a row as an integer column, 1 if not
     given. tolerance: bytes by which a boundary may miss its share; 0 takes the nearest boundary there is.
     cell_rows: about how many rows one task sorts. Rows equal in every column stay in one shard. An empty
-    table gives no rows. Further columns pass through, and a clash with shard_name or slot_name is an error.
+    table gives no rows. Further columns pass through; slot and shard come last, with an underscore before
+    a name that df has.
     """
-    for name in (shard_name, slot_name):
-        if name.lower() in {c.lower() for c in df.columns}:
-            raise ValueError(f"column {name} is there already; pass another name")
     spark = df.sparkSession
-    k, t, s, cell = fresh(df, "key", "tie", "size", "cell")
+    k, t, s, cell, slot_name, shard_name = fresh(df, "key", "tie", "size", "cell", slot_name, shard_name)
     position = F.coalesce(F.col(key).cast("long"), F.lit(LOWEST))
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     full = df.withColumns({k: position, t: tie, s: (F.lit(1) if size is None else size).cast("long")})
