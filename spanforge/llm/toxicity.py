@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, fresh
 
 # Most labelled rows that the model is fitted on, and most learned lexicon entries.
 SAMPLE, LEARNED = 20_000, 20_000
@@ -38,6 +38,7 @@ LEXICON = set(
 )
 SECOND_PERSON = set("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre vos tú ti tuyo usted ustedes vosotros".split())
 LEET = str.maketrans("013457@$!|", "oieastasii")
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W\d_]")
 _REPEAT = re.compile(r"(.)\1{2,}")
@@ -57,19 +58,25 @@ def plain(token: str) -> str:
 
 def token_row(token: str, learned: dict[str, float]) -> list[float]:
     """The features of one token."""
-    word = plain(token)
-    letters = sum(c.isalpha() for c in token)
-    upper = sum(c.isupper() for c in token)
-    marks = sum(not c.isalnum() for c in token)
-    masked = bool(_INNER.search(word)) and any(c.isalpha() for c in word)
-    shown = _INNER.sub("", word.translate(LEET)) if masked else word
+    core = token.strip(MARKS)
+    loud = token.count("!") + token.count("?")
+    if core.isalpha():  # most tokens: letters, with marks around them at most
+        word, letters, digits, masked = core.lower(), len(core), 0, False
+        upper = 0 if core == word else sum(map(str.isupper, core))
+        marks, shown = len(token) - letters, word
+    else:
+        word = plain(token)
+        letters, upper, digits = (sum(map(f, token)) for f in (str.isalpha, str.isupper, str.isdigit))
+        marks = len(token) - sum(map(str.isalnum, token))
+        masked = bool(_INNER.search(word)) and any(map(str.isalpha, word))
+        shown = _INNER.sub("", word.translate(LEET)) if masked else word
     single = _REPEAT.sub(r"\1", shown)
     in_lexicon = word in LEXICON
     score = max((learned.get(u, 0.0) for u in units(word)), default=0.0) if learned and word else 0.0
     hidden = not in_lexicon and (shown in LEXICON or single in LEXICON)
     if not score and learned and (masked or single != word):
         score = max(max(learned.get(u, 0.0) for u in units(w)) if w else 0.0 for w in (shown, single))
-    return [len(token), upper, marks, sum(c in "!?" for c in token), sum(c.isdigit() for c in token), float(letters > 2 and upper == letters), float(in_lexicon), score, float(masked), float(hidden), float(word in SECOND_PERSON), float(single != shown)]
+    return [len(token), upper, marks, loud, digits, float(letters > 2 and upper == letters), float(in_lexicon), score, float(masked), float(hidden), float(word in SECOND_PERSON), float(single != shown)]
 
 
 class TokenTable:
@@ -245,7 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     work = Workspace(docs.sparkSession, "toxicity")
     one = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("toxic"))
     chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select("_id", F.col(text).alias("text"), "toxic")
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "_id")  # at most `sample` rows
     rows = work.stash(rows.withColumn("half", F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(4)) < 2), "sample")
     learned, first, second = (learn_lexicon(x) for x in (rows, rows.where("half"), rows.where("not half")))
 
@@ -285,7 +293,5 @@ def held_out(doc_id: Column) -> Column:
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """docs with the score in a further column (an error if it is there)."""
-    if column.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {column} is there already")
-    return docs.withColumn(column, toxicity_score(F.col(text), model))
+    """docs with the score in a last column, with an underscore before its name if docs has it."""
+    return docs.withColumn(fresh(docs, column)[0], toxicity_score(F.col(text), model))
