@@ -163,6 +163,29 @@ def fence_length(text: Column) -> Column:
     return F.coalesce(F.array_min(free), F.lit(32)).cast("bigint")
 
 
+def markdown_section(title: Column, body: Column, level: int = 2) -> Column:
+    """A heading, an empty line and the body."""
+    return F.concat(F.lit("#" * level + " "), title, F.lit("\n\n"), body, F.lit("\n"))
+
+
+def command_line(command: Column) -> Column:
+    """A command as a fenced shell block."""
+    return F.concat(F.lit("```bash\n$ "), command, F.lit("\n```\n"))
+
+
+def clean_terminal_output(text: Column) -> Column:
+    """Without escape sequences, carriage returns, blanks at line ends and empty lines."""
+    kept = F.filter(F.transform(lines(F.replace(strip_ansi(text), F.lit("\r"), F.lit(""))), lambda x: F.rtrim(x, F.lit(BLANKS))), lambda x: x != "")
+    return F.array_join(kept, "\n")
+
+
+def progress_bar(done: Column, total: Column, width: int = 20) -> Column:
+    """[####----] and the percentage; full for a total of 0."""
+    share = F.when(total > 0, F.least(done / total, F.lit(1.0))).otherwise(F.lit(1.0))
+    full = F.floor(share * width).cast("int")
+    return F.concat(F.lit("["), F.repeat(F.lit("#"), full), F.repeat(F.lit("-"), width - full), F.lit("] "), F.round(share * 100).cast("int").cast("string"), F.lit("%"))
+
+
 def repeat_join(text: Column, times: int, separator: str = " ") -> Column:
     """A text `times` times (10,000 at most) with a separator between."""
     return F.array_join(F.array_repeat(text, min(times, 10_000)), separator)
@@ -246,6 +269,16 @@ def find_matching_delimiter(text: str, at: int = 0) -> int | None:
     return None
 
 
+@python_function("string")
+def between_delimiters(text: str, opening: str = "(") -> str | None:
+    """What the first bracket of a kind holds, nested ones included; null if it isn't closed."""
+    for i, c, depth in _scan(text):
+        if depth is not None and c == opening:
+            end = find_matching_delimiter.scalar(text, i)
+            return None if end is None else text[i + 1 : end]
+    return None
+
+
 @python_function("string")
 def extract_block(text: str) -> str:
     """The lines from the first brace to the line where it closes."""
@@ -330,6 +363,16 @@ def strip_quotes(text: Column) -> Column:
     return F.when(style.isNull(), text).otherwise(F.substring(text, n + 1, F.length(text) - 2 * n))
 
 
+def ensure_quoted(text: Column, style: str = "double") -> Column:
+    """The text in quotes of any style; those of `style` are added where there are none."""
+    return F.when(quote_style(text).isNull(), add_quotes(text, style)).otherwise(text)
+
+
+def has_quote_conflicts(text: Column, style: str) -> Column:
+    """Whether a text holds the marks that a style would put around it."""
+    return contains_any(text, list(dict.fromkeys(QUOTES[style])))
+
+
 def add_quotes(text: Column, style: str) -> Column:
     return F.concat(F.lit(QUOTES[style][0]), text, F.lit(QUOTES[style][1]))
 

@@ -469,6 +469,47 @@ def facts_table(df: DataFrame, text: str) -> DataFrame:
     return explode_documents(df, text, facts, "id long, span_start long, span_end long, predicate string, value_start long, value_end long", ["id", "span_start", "span_end", "predicate", "value_start", "value_end"])
 
 
+def token_facts_table(df: DataFrame, text: str) -> DataFrame:
+    """A fact for each token that means something, without a tree; error tokens give none."""
+    rows = lambda t: [(i, x.start, x.end, TOKEN_FACTS[x.kind]) for i, x in enumerate(y for y in tokenize(t) if y.kind in TOKEN_FACTS)]
+    return explode_documents(df, text, rows, "id long, span_start long, span_end long, predicate string", ["id", "span_start", "span_end", "predicate"])
+
+
+def merged_schema(df: DataFrame, text: str) -> dict:
+    """One schema for all documents of a table; documents with errors are left out.
+
+    Each task merges its documents, so the driver gets one small schema for each partition.
+    """
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = None
+        for b in batches:
+            for v in b[text]:
+                if v is not None and (s := infer_schema(v)) is not None:
+                    out = s if out is None else merge_schemas(out, s)
+        yield pd.DataFrame({"schema": [json.dumps(out)] if out is not None else []}, dtype=object)
+
+    found = [json.loads(r.schema) for r in df.select(text).mapInPandas(merge, "schema string").collect()]
+    out = found[0] if found else {"kind": "any"}
+    for s in found[1:]:
+        out = merge_schemas(out, s)
+    return out
+
+
+def minify(text: str) -> str | None:
+    """The text on one line without blanks, with raw numbers and the order of keys kept; null if it has errors."""
+    root, errors = parse(text)
+    if errors or root is None:
+        return None
+
+    def show(n: Node) -> str:
+        if n.kind == "object":
+            return "{" + ",".join(f"{p.raw}:{show(p.children[0])}" for p in n.children) + "}"
+        return "[" + ",".join(map(show, n.children)) + "]" if n.kind == "array" else n.raw
+
+    return show(root)
+
+
 STATISTICS = "max_depth int, total_keys int, total_values int, objects int, arrays int, strings int, numbers int, booleans int, nulls int, size_bytes long, complexity double"
 
 

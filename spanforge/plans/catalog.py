@@ -211,6 +211,8 @@ for _a, _b in (("'\\'", "'\\\\'"), ("chr(34)", "'\\' || chr(34)"), ("chr(10)", "
 shown("escape_json", "documents", "doc_id", size=(lambda: F.length(text.escape(_T(), "json")).cast("bigint"), f"CAST(length({_ESCAPED}) AS BIGINT)"))
 shown("escape_html", "pages", "page_id", size=(lambda: F.length(text.escape(F.col("html"), "html")).cast("bigint"), "CAST(length(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS BIGINT)"))
 shown("quotes", "events", "event_id", style=(lambda: text.quote_style(text.add_quotes(F.col("event_type"), "single")), "'single'"), converted=(lambda: text.convert_quotes(F.concat(F.lit("'"), "event_type", F.lit("'")), "double"), "'\"' || event_type || '\"'"))
+shown("quotes_ensured", "events", "event_id", quoted=(lambda: text.ensure_quoted(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("'"), "event_type", F.lit("'"))).otherwise(F.col("event_type"))), "CASE WHEN event_id % 2 = 0 THEN '''' || event_type || '''' ELSE '\"' || event_type || '\"' END"), conflict=(lambda: text.has_quote_conflicts(F.col("event_type"), "single"), "false"))
+shown("terminal_output", "events", "event_id", clean=(lambda: text.clean_terminal_output(F.concat(F.lit("\x1b[1m"), "event_type", F.lit("\x1b[0m \r\n\n  x"))), "event_type || chr(10) || '  x'"), section=(lambda: text.markdown_section(F.col("event_type"), F.lit("b")), "'## ' || event_type || chr(10) || chr(10) || 'b' || chr(10)"), bar=(lambda: text.progress_bar(F.col("event_id") % 5, F.lit(4), 4), "'[' || repeat('#', CAST(event_id % 5 AS INTEGER)) || repeat('-', CAST(4 - event_id % 5 AS INTEGER)) || '] ' || CAST((event_id % 5) * 25 AS INTEGER) || '%'"))
 shown("repeat_join", "events", "event_id", echoed=(lambda: text.repeat_join(F.col("event_type"), 3, "-"), "event_type || '-' || event_type || '-' || event_type"))
 shown("char_classes", "documents", "doc_id", digits=(lambda: chars.count_class(_T(), "digit"), "CAST(len(regexp_extract_all(text, '[0-9]')) AS BIGINT)"), upper=(lambda: chars.count_class(_T(), "upper"), "CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT)"), delimiters=(lambda: chars.count_class(_T(), "delimiter"), r"CAST(len(regexp_extract_all(text, '[(){}\[\];:,.]')) AS BIGINT)"))
 shown("consumers", "events", "event_id", identifier=(lambda: chars.consume(F.concat("event_type", F.lit("_1 x")), "identifier"), "CAST(length(event_type) + 2 AS BIGINT)"), number=(lambda: chars.consume(F.concat(F.col("event_id").cast("string"), F.lit(".5e3x")), "number"), "CAST(length(CAST(event_id AS VARCHAR)) + 4 AS BIGINT)"))
@@ -250,6 +252,8 @@ on_table("json_facts", "events", lambda e: jsonx.facts_table(e.select("event_id"
 on_table("json_tokens", "events", lambda e: jsonx.tokens_table(e.select("event_id", "props"), "props").groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT kind, (SELECT count(*) FROM events) AS n FROM (VALUES ('object_start'), ('property_name'), ('colon'), ('number_value'), ('object_end')) t(kind)")
 shown("json_format", "events", "event_id", laid_out=(lambda: jsonx.format_column(_J()), "'{' || chr(10) || '  \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '}'"))
 
+on_table("json_token_facts", "events", lambda e: jsonx.token_facts_table(e.select("event_id", "props"), "props").select("event_id", "id", "predicate"), "SELECT event_id, id, predicate FROM events, (VALUES (0, 'json_is_object'), (1, 'json_is_key'), (2, 'is_number')) t(id, predicate)")
+
 # Joins and references
 
 on_facts("fact_self_join", lambda f: index.references(f.withColumn("value_ref", F.when(F.col("id") > 10, F.col("id") - F.col("value_number") % 10))).select("id", "value_ref", "ref_predicate"), "SELECT a.id, b.id AS value_ref, b.predicate AS ref_predicate FROM facts a JOIN facts b ON a.id > 10 AND b.id = a.id - a.value_number % 10")

@@ -53,6 +53,10 @@ def test_delimiters(spark):
     assert ask(spark, text.is_balanced(F.lit('f("(") [x]')), text.is_balanced(F.lit("(]")), text.split_respecting_nesting(F.lit("a,(b,c),'d,e'")), text.find_matching_delimiter(F.lit("f(a(b))"), 1), text.count_balance(F.lit("(()"), "(", ")")) == [True, False, ["a", "(b,c)", "'d,e'"], 6, 1]
 
 
+def test_between_delimiters(spark):
+    assert ask(spark, text.between_delimiters(F.lit("f(a(b)c) d")), text.between_delimiters(F.lit("f(")), text.between_delimiters(F.lit("x")), text.command_line(F.lit("ls")), text.progress_bar(F.lit(0), F.lit(0), 2)) == ["a(b)c", None, None, "```bash\n$ ls\n```\n", "[##] 100%"]
+
+
 def test_indents(spark):
     assert ask(spark, text.indent_style(F.lit("a\n  b\n    c")), text.indent_style(F.lit("a\n\tb")), text.indent_style(F.lit("\ta\n  b")), text.dedent(F.lit("    a\n      b\n")), text.convert_indent(F.lit("a\n  b\n    c")), text.indent_level(F.lit("\t    x"))) == ["spaces:2", "tabs", "mixed", "a\n  b\n", "a\n\tb\n\t\tc", 2]
     assert ask(spark, text.wrap_text(F.lit("aa bb cc"), 5), text.format_indented(F.lit("a\n\nb"), 1, 2)) == ["aa bb\ncc", "  a\n\n  b"]

@@ -66,6 +66,13 @@ def test_tables(spark):
     assert got == {1: "object", 2: None, 3: None, 4: None}
 
 
+def test_merged_schema_and_minify(spark):
+    df = spark.createDataFrame([(1, '{"a": 1}'), (2, '{"a": 2, "b": [1]}'), (3, "{"), (4, None)], "id long, doc string")
+    assert jsonx.schema_text(jsonx.merged_schema(df, "doc")) == "{a: number, b: [number]}"
+    assert jsonx.merged_schema(df.limit(0), "doc") == {"kind": "any"}
+    assert jsonx.minify('{ "b": 1e2, "a": [1, {}] }') == '{"b":1e2,"a":[1,{}]}' and jsonx.minify("[") is None
+
+
 ZON = '.{\n    .name = .app, // c\n    .version = "1.0.0",\n    .n = .{ 0x1F, 1_000, 2.5, \'a\', true, null },\n    .@"odd name" = .{},\n    .text =\n    \\\\line one\n    \\\\line two\n    ,\n}'
 
 
