@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +55,42 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+ARROW_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ask for Arrow batches of at most ARROW_ROWS rows, unless the session has less.
+
+    A batch of whole texts takes its size several times over, in the JVM's buffers and in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
+_held: dict = {}
+
+
+def held(name, make: Callable):
+    """What make() gives, kept in this worker process until something of another name is asked for.
+
+    A worker serves one operator after another; so it holds the memo of one of them at a time.
+    """
+    if name not in _held:
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """Give back what this worker holds, to the system too."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, made from the given ones."""
     taken = {c.lower() for c in df.columns}

@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, only
+from .common import Workspace, only, small_batches
 from .components import connected_components
-from .shingles import WordHashes, shingles, words_of
+from .shingles import shingles, word_hashes, words_of
 
 COORDINATES = 32
 # Chance that a pair at the threshold is not a candidate.
@@ -33,7 +33,6 @@ MISS = 2e-5
 PIVOTS, BLOCK = 8, 512
 
 _FACTORS = np.random.default_rng(97).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_word_hashes = WordHashes()
 
 
 def match_threshold(coordinates: int, percent: int, miss: float = MISS) -> int:
@@ -48,7 +47,7 @@ def match_threshold(coordinates: int, percent: int, miss: float = MISS) -> int:
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
-    return np.unique(shingles(_word_hashes(words_of(text)), n))
+    return np.unique(shingles(word_hashes(words_of(text)), n))
 
 
 def signature(found: np.ndarray, coordinates: int) -> np.ndarray:
@@ -143,8 +142,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kept), or has none and is kept. An empty table gives no rows; other columns are not read.
     """
     matches = match_threshold(coordinates, percent)
-    spark = docs.sparkSession
-    work = Workspace(spark, "near-duplicates")
+    small_batches(docs.sparkSession)
+    work = Workspace(docs.sparkSession, "near-duplicates")
     signed = work.stash(signatures(docs, doc_id, text, n, coordinates), "signatures")
     classes = signed.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).where("rep is not null")
     posted = work.stash(prefixes(classes, coordinates, matches), "prefixes")

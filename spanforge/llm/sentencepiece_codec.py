@@ -15,13 +15,19 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import fresh, held, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MEMO, MEMO_CHARS, PAIRS = 500_000, 64, 2_000_000
+MEMO, MEMO_CHARS, PAIRS = 150_000, 64, 1_000_000
 STEP = 64
+# Rows whose ids are held at a time.
+ROWS = 256
 ANY, NONE = -1, -2
 
 
@@ -44,8 +50,8 @@ class Codec:
             raise ValueError("a piece holds a space after another character: segments would not be independent")
         # marks that no piece holds after a letter or digit end a segment
         inside = {m for t in self.ids for m in re.findall(r"(?<=[^\W_])[\W_]", t)}
-        ends = re.escape("".join(c for c in map(chr, range(128)) if not c.isalnum() and c not in inside))
-        self.segments = re.compile(f"{SPACE}*[^\\W_]+(?=[{ends}{SPACE}]|\\Z)|{SPACE}*[^{SPACE}]+|{SPACE}+")
+        ends = re.escape("".join(c for c in map(chr, range(128)) if not c.isalnum() and c != " " and c not in inside))
+        self.segments = re.compile(f" *[^\\W_]+(?=[{ends} ]|\\Z)| *[^ ]+| +")
         # pieces that are their own encoding, as a trie: char -> (node below, piece that ends here or NONE)
         self.live = {t: i for t, i in self.ids.items() if self.merge(t) == [t]}
         self.root: dict[str, tuple[dict, int]] = {}
@@ -97,9 +103,9 @@ class Codec:
     def segment(self, text: str) -> tuple[int, ...]:
         """The ids of a segment, remembered if it is short; what isn't asked for is forgotten in two steps."""
         if (got := self.old.get(text)) is None:
-            search = StreamingViterbi(self)
+            search, marked = StreamingViterbi(self), text.replace(" ", SPACE)
             # a short segment is left to the end
-            got = (*(search.feed(text) if len(text) > STEP else search.take(text)), *search.finish())
+            got = (*(search.feed(marked) if len(marked) > STEP else search.take(marked)), *search.finish())
         if len(text) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.old, self.memo = self.memo, {}
@@ -112,7 +118,7 @@ class Codec:
             return []
         out: list[int] = []
         extend = out.extend
-        for s in self.segments.findall(SPACE + text.replace(" ", SPACE)):
+        for s in self.segments.findall(" " + (text.replace(SPACE, " ") if SPACE in text else text)):
             got = self.memo.get(s)
             extend(self.segment(s) if got is None else got)
         return out
@@ -211,14 +217,9 @@ class StreamingViterbi:
         return out
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str = MODEL) -> Codec:
-    """The codec of a model file, kept for the life of the worker process."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    """The worker's codec of a model file."""
+    return held(("pieces", path), lambda: Codec(path))
 
 
 def encode(text: Column, path: str = MODEL) -> Column:
@@ -249,18 +250,21 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str = MODEL, ids
     """docs with the ids of each whole text, their number, and whether decoding them gives the text back.
 
     Null and empty texts have no ids. The round trip fails where a text holds U+2581 itself, which SentencePiece
-    reads as a space. It is an error if one of the three columns is there already.
+    reads as a space. The three columns come last, with an underscore before a name that docs has.
     """
-    if taken := {ids, count, check} & set(docs.columns):
-        raise ValueError(f"columns {sorted(taken)} are there already")
-    schema = f"{ids} array<int>, {check} boolean"
+    small_batches(docs.sparkSession)
+    ids, count, check = fresh(docs, ids, count, check)
 
-    @F.pandas_udf(schema)
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for texts in batches:
-            found = [c.encode(t) for t in texts]
-            yield pd.DataFrame({ids: pd.Series(found, dtype=object), check: [c.decode(x) == (t or "") for x, t in zip(found, texts)]})
-
-    out = docs.withColumn("_encoded", both(F.col(text)))
-    return out.select(*docs.columns, F.col(f"_encoded.{ids}"), F.size(f"_encoded.{ids}").cast("long").alias(count), F.col(f"_encoded.{check}"))
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                texts = part.column(text).to_pylist()
+                found = [c.encode(t) for t in texts]
+                same = [c.decode(x) == (t or "") for x, t in zip(found, texts)]
+                added = [pa.array(found, pa.list_(pa.int32())), pa.array(map(len, found), pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, ids, count, check])
+
+    added = StructType.fromDDL(f"`{ids}` array<int>, `{count}` bigint, `{check}` boolean").fields
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import held
+
 # Odd multipliers of the positions in a shingle, from a fixed generator.
 _RNG = np.random.default_rng(20240229)
 _PLACES = _RNG.integers(1, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MEMO = 1 << 20
+MEMO = 1 << 17
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -32,6 +34,11 @@ class WordHashes:
         return np.fromiter(map(self.memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes by the worker's memo."""
+    return held("words", WordHashes)(words)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finalizer of 64-bit values."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

@@ -14,27 +14,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace
+from .common import Workspace, held
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the published pre-tokenization pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_encoders: dict = {}
-
-
 def encoder(path: str, pattern: str = PATTERN):
-    """The tokenizer of a ranks file, kept for the life of the worker process."""
-    if path not in _encoders:
+    """The worker's tokenizer of a ranks file."""
+
+    def make():
         import base64
 
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return held(("ranks", path), make)
 
 
 def token_length(text: Column, vocabulary: str = VOCABULARY) -> Column:

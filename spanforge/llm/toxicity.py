@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh
+from .common import Workspace, fresh, release, small_batches
 
 # Most labelled rows that the model is fitted on, and most learned lexicon entries.
 SAMPLE, LEARNED = 20_000, 20_000
@@ -82,7 +82,7 @@ def token_row(token: str, learned: dict[str, float]) -> list[float]:
 class TokenTable:
     """Feature rows of the tokens seen, at most `most` of them at a time."""
 
-    def __init__(self, learned: dict[str, float], most: int = 400_000):
+    def __init__(self, learned: dict[str, float], most: int = 120_000):
         self.learned, self.most = learned, most
         self.clear()
 
@@ -220,11 +220,12 @@ def learn_lexicon(sample: DataFrame, most: int = LEARNED) -> dict[str, float]:
     """Words and beginnings of words whose share of toxic texts stands out: unit -> log odds."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         seen = {0: Counter(), 1: Counter()}
         for b in batches:
             for t, y in zip(b["text"], b["toxic"]):
                 seen[int(y)].update({u for w in {plain(x) for x in (t or "").split()} if w for u in units(w)})
-                if len(seen[0]) > 1_000_000:
+                if len(seen[0]) > 100_000:
                     yield pd.DataFrame([(u, seen[1].pop(u, 0), n) for u, n in seen[0].items()], columns=["unit", "bad", "good"])
                     seen[0] = Counter()
         yield pd.DataFrame([(u, seen[1][u], seen[0][u]) for u in {*seen[0], *seen[1]}], columns=["unit", "bad", "good"])
@@ -249,6 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     Labels other than 0 and 1 are left out; a row labelled twice is toxic if one of its labels says so. With
     fewer than 10 rows of either label the model is the fixed lexicon alone.
     """
+    small_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "toxicity")
     one = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("toxic"))
     chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -258,6 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     learned, first, second = (learn_lexicon(x) for x in (rows, rows.where("half"), rows.where("not half")))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         tables = {True: TokenTable(second), False: TokenTable(first)}
         for b in batches:
             yield pd.DataFrame({"x": [features(t, tables[h]) for t, h in zip(b["text"], b["half"])], "toxic": b["toxic"], "id": b["_id"]})
@@ -280,6 +283,7 @@ def toxicity_score(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         table = TokenTable(model.learned)
         for b in batches:
             yield pd.Series(model.score(np.stack([features(t, table) for t in b])) if len(b) else [], dtype="float64")
@@ -294,4 +298,5 @@ def held_out(doc_id: Column) -> Column:
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """docs with the score in a last column, with an underscore before its name if docs has it."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(fresh(docs, column)[0], toxicity_score(F.col(text), model))
