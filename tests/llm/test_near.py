@@ -188,6 +188,31 @@ def test_exact_passages_are_found(spark):
     assert set(got) == set(expect)
 
 
+def test_passages_whose_values_other_documents_had_first(spark):
+    """Every shingle of a passage occurs in earlier documents, in pieces; so does its near copy."""
+    rng = random.Random(13)
+    passage, other = prose(rng, 60), prose(rng, 110)
+    pieces = [p[k : k + 12] for p in (passage, other) for k in range(0, len(p), 6)]
+    rows = [(i, " ".join(prose(rng, 60) + piece + prose(rng, 60))) for i, piece in enumerate(pieces)]
+    rows += [(100 + i, " ".join(prose(rng, 60) + passage + prose(rng, 60))) for i in range(3)]
+    rows += [(200, " ".join(prose(rng, 60) + other)), (201, " ".join(other[:55] + ["changed"] + other[56:] + prose(rng, 60)))]
+    # the same first 30 words lead to other texts in earlier documents
+    rows += [(50 + i, " ".join(other[20:48] + prose(rng, 60))) for i in range(6)]
+    got = sd.shared_passages(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.source_id) for r in got} == {(101, 100), (102, 100), (201, 200)}
+    found = {}
+    for r in got:
+        found.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert all(p <= found[i] for i, p in repeated_words(rows).items()) and len(found[201]) >= 105
+
+
+def test_run_hashes():
+    s = np.random.default_rng(1).integers(0, 2**63, size=40).astype(np.uint64)
+    s[25:35] = s[5:15]
+    h = sd.run_hashes(s, 10)
+    assert len(h) == 31 and len(set(h.tolist())) == 30 and h[5] == h[25] and len(sd.run_hashes(s[:9], 10)) == 0
+
+
 def test_near_passages_are_found(spark):
     rng = random.Random(12)
     passage = prose(rng, 120)
