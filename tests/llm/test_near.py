@@ -213,6 +213,30 @@ def test_run_hashes():
     assert len(h) == 31 and len(set(h.tolist())) == 30 and h[5] == h[25] and len(sd.run_hashes(s[:9], 10)) == 0
 
 
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 4, 6])
+def test_passages_with_insertions(k):
+    """96 words with k words more in the middle of either side have a similarity of 0.86 or more."""
+    rng = random.Random(k)
+    passage, extra = prose(rng, 96, 10**6), prose(rng, k, 10**6)
+    longer = passage[:48] + extra + passage[48:]
+    for mine, other in ((passage, longer), (longer, passage)):
+        a, b = (sd.text_shingles(" ".join(prose(rng, 40, 10**6) + w + prose(rng, 30, 10**6)), 5) for w in (mine, other))
+        ((lo, hi, j0, j1, s),) = sd.passages(a, b, 5, 50, 80)
+        assert (lo, hi, j0, j1) == (40, 40 + len(mine), 40, 40 + len(other)) and s >= 0.86
+
+
+@pytest.mark.parametrize("teasers", [1, 3, 20])
+def test_passages_after_a_teaser(teasers):
+    rng = random.Random(6)
+    passage, text = prose(rng, 60, 10**6), []
+    for _ in range(teasers):
+        text += passage[:30] + prose(rng, 20, 10**6)
+    a, b = sd.text_shingles(" ".join(passage), 5), sd.text_shingles(" ".join(text + passage), 5)
+    assert sd.passages(a, b, 5, 50, 80) == [(0, 60, 50 * teasers, 50 * teasers + 60, 1.0)]
+    same = sd.text_shingles("same " * 3000, 5)
+    assert [p[:2] for p in sd.passages(same[:900], same, 5, 50, 80)] == [(0, 904)]
+
+
 def test_near_passages_are_found(spark):
     rng = random.Random(12)
     passage = prose(rng, 120)
