@@ -134,27 +134,40 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def text_label(b: Block, density: float, stop_words: set[str]) -> str:
+    """good, bad, near or short, by the density of links, the length and the density of stop words."""
+    if density > LINKS:
+        return "bad"
+    if len(b.text) < SHORT:
+        return "bad" if b.linked else "short"
+    words = b.text.lower().split()
+    stops = sum(w.strip(".,;:!?\"'()") in stop_words for w in words) / len(words)
+    if stops >= STOP_HIGH:
+        return "good" if len(b.text) > LONG else "near"
+    return "near" if stops >= STOP_LOW else "bad"
+
+
 def first_pass(found: list[Block], stop_words: set[str]) -> None:
-    """Label blocks good, bad, near or short."""
-    has_main = any(b.main and not b.bad for b in found)
+    """Label blocks good, bad, near or short.
+
+    Every block outside boilerplate is judged by its text. Where <article> or <main> holds most of the good text,
+    few links are enough inside it, and what is open outside is bad.
+    """
+    shares = []
     for b in found:
-        n = max(1, len(b.text.replace(" ", "")))
-        density = b.linked / n
-        if b.bad or (has_main and not b.main) or "\xa9" in b.text[:3]:
-            b.label = "bad"
-        elif b.main:
+        density = b.linked / max(1, len(b.text.replace(" ", "")))
+        shares.append(density)
+        b.label = "bad" if b.bad or "\xa9" in b.text[:3] else text_label(b, density, stop_words)
+    size = lambda main: sum(len(b.text) for b in found if b.label == "good" and b.main == main)
+    if not any(b.main and not b.bad for b in found) or size(True) < size(False):
+        return
+    for b, density in zip(found, shares):
+        if b.bad or "\xa9" in b.text[:3]:
+            continue
+        if b.main:
             b.label = "good" if density <= LINKS or b.heading else "short" if density <= 0.5 else "bad"
-        elif density > LINKS:
+        elif b.label != "good":
             b.label = "bad"
-        elif len(b.text) < SHORT:
-            b.label = "bad" if b.linked else "short"
-        else:
-            words = b.text.lower().split()
-            stops = sum(w.strip(".,;:!?\"'()") in stop_words for w in words) / len(words)
-            if stops >= STOP_HIGH:
-                b.label = "good" if len(b.text) > LONG else "near"
-            else:
-                b.label = "near" if stops >= STOP_LOW else "bad"
 
 
 def second_pass(found: list[Block]) -> None:

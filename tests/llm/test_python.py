@@ -156,6 +156,15 @@ def test_pages_without_an_article():
     assert html_text.extract(page) == f"Title here {stop} Short one. {stop}"
 
 
+def test_an_article_beside_the_main_text():
+    stop = ("the cat of the house and the dog in it was on a mat for all that is to be " * 5).strip()
+    prose = f"<div>{stop}</div><div>{stop}</div>"
+    assert html_text.extract(f"<body>{prose}<article>Read more here</article></body>") == f"{stop} {stop}"
+    assert html_text.extract(f"<body><main><h1>A title</h1></main>{prose}</body>").endswith(f"{stop} {stop}")
+    # prose outside stays where the container holds more; what is open there goes
+    assert html_text.extract(f"<main><p>{stop}</p><p>{stop}</p><p>Short.</p></main><div>{stop}</div><div>Short.</div>") == f"{stop} {stop} Short. {stop}"
+
+
 def test_second_pass():
     b = [html_text.Block(t, 0, False, False, h) for t, h in (("x", False), ("h", True), ("g", False), ("s", False), ("b", False), ("n", False))]
     for x, label in zip(b, ("short", "short", "good", "short", "bad", "near")):
