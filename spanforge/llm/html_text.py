@@ -1,9 +1,10 @@
 """HTML extraction by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides a block by the container it stands in,
-its length, the density of links and the density of stop words; short and middling blocks stay open. In the
-second pass an open block takes the label of its nearest decided neighbours. Pages are read whole, in one scan
-each, by a pattern without backtracking.
+A page is cut into blocks at block-level tags. The first pass decides a block by its length, the density of links
+and the density of stop words; short and middling blocks stay open. In the second pass an open block takes the
+label of its nearest decided neighbours. Where <article> or <main> holds most of the good text, a block in it
+that has few stop words is open too, and what is open outside is bad. Elements that are no article by their tag,
+role or class name are left out before. Pages are read whole, in one scan each, by a pattern without backtracking.
 """
 
 from __future__ import annotations
@@ -37,34 +38,64 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BOILERPLATE = set("nav footer aside form button menu dialog".split())
 MAIN = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|footer|sidebar|cookies?|consent|gdpr|notice|alert|popup|modal|"
-    r"overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|pager|comments?|commentlist|disqus|reply|replies|respond|widget|masthead|site-header|page-header|topbar|toolbar|skip)(?:$|[\s_-])",
-    re.I,
+# Parts of class names. A name counts if a part is in HINTS and the others in HINTS or BESIDE.
+HINTS = set(
+    """ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion banner banners nav navbar navigation
+    menu menus footer sidebar sidebars cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup
+    login share shares sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets masthead topbar toolbar skip
+    skiplink comment comments commentlist disqus reply replies respond""".split()
+)
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
+BESIDE = set(
+    """site page main primary secondary top bottom left right header global user box block bar button buttons list item items link links wrap wrapper container
+    area section inner outer panel form message text body slot unit icons media post posts article articles story stories sticky mobile desktop""".split()
 )
+NAME_PART = re.compile(r"[a-z]+|\d+", re.I)
+# Scripts written without spaces; a character tells about as much as three letters.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+PER_CHARACTER = 3
 TOKEN = re.compile(
     rf"<!--(?:[^-]++|-(?!->))*+(?:-->|\Z)|<({RAW})\b[^>]*+>(?:[^<]++|<(?!/\1\b))*+(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^>]*+)>|<[!?][^>]*+>",
     re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-LANG = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
+LANG = re.compile(r"\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
+HREF = re.compile(r"\bhref\b", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
-    """Whether an element's own name, role, class or id marks it as not the article, or it is hidden."""
+def hinted(name: str) -> str:
+    """What a class name or id says of its element: "comments", "other", or nothing."""
+    parts = [p.lower() for p in NAME_PART.findall(name) if not p.isdigit()]
+    if "site" in parts or "page" in parts:
+        if parts[-1] == "header":
+            return "other"
+    if not any(p in HINTS for p in parts) or not all(p in HINTS or p in BESIDE for p in parts):
+        return ""
+    return "comments" if any(p in COMMENTS for p in parts) else "other"
+
+
+def boilerplate(tag: str, attributes: str) -> str:
+    """"out" if an element's name, role or state, or a class of comments, marks it as no article, whatever it stands in;
+    "hint" if only a class name does; else nothing."""
     if tag in BOILERPLATE:
-        return True
+        return "out"
+    found = ""
     for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         value, name = "".join(values), name.lower()
-        if name in ("class", "id") and tag not in ("body", "html") and HINT.search(value):
-            return True
+        if name in ("class", "id") and tag not in ("body", "html"):
+            hints = {hinted(x) for x in value.split()}
+            if "comments" in hints:
+                return "out"
+            # an article's or main part's own name speaks of its content
+            if "other" in hints and tag not in MAIN:
+                found = "hint"
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "out"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "out"
+    return found
 
 
 class Block:
@@ -76,121 +107,156 @@ class Block:
         self.text, self.linked, self.bad, self.main, self.heading, self.label = text, linked, bad, main, heading, ""
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page with text, in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, in boilerplate, in the main part
-    parts: list[tuple[str, bool]] = []
-    state = {"links": 0}
-
-    def flush() -> None:
-        if parts:
-            text = " ".join(entities.unescape("".join(p for p, _ in parts)).split())
+class Page:
+    """Scans a page into blocks with text, in order, and its language."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.lang = ""
+        self.stack: list[tuple[str, str, bool]] = []  # name, "out" or "hint" if in boilerplate, in the main part
+        self.parts: list[tuple[str, bool]] = []
+        self.link = -1  # open elements around the open link, or none
+        at = 0
+        for m in TOKEN.finditer(page):
+            if m.start() > at:
+                self.parts.append((page[at : m.start()], self.link >= 0))
+            at = m.end()
+            if m[3]:
+                self.tag(m[3].lower(), bool(m[2]), m[4])
+        if at < len(page):
+            self.parts.append((page[at:], self.link >= 0))
+        self.flush()
+
+    def where(self) -> tuple[str, bool]:
+        return self.stack[-1][1:] if self.stack else ("", False)
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(entities.unescape("".join(p for p, _ in self.parts)).split())
             if text:
-                linked = sum(len("".join(entities.unescape(p).split())) for p, link in parts if link)
-                bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append(Block(text, linked, bad, main, any(s[0] in HEADINGS for s in stack[-2:])))
-            parts.clear()
-
-    def close(name: str) -> None:
-        if any(s[0] == name for s in stack):
-            while stack.pop()[0] != name:
-                pass
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append((page[at : m.start()], state["links"] > 0))
-        at = m.end()
-        if not m[3]:
-            continue
-        tag = m[3].lower()
+                linked = sum(len("".join(entities.unescape(p).split())) for p, link in self.parts if link)
+                bad, main = self.where()
+                self.blocks.append(Block(text, linked, bool(bad), main, any(s[0] in HEADINGS for s in self.stack[-2:])))
+            self.parts.clear()
+
+    def pop(self) -> str:
+        name = self.stack.pop()[0]
+        if self.link > len(self.stack):  # the link's element is closed
+            self.link = -1
+        return name
+
+    def push(self, tag: str, bad: str) -> None:
+        around, main = self.where()
+        if tag in MAIN and not main and around == "hint":
+            around = ""  # the class name of a wrapper doesn't reach into the main part
+        self.stack.append((tag, "out" if "out" in (around, bad) else around or bad, main or tag in MAIN))
+
+    def tag(self, tag: str, closing: bool, attributes: str) -> None:
         if tag == "a":
-            state["links"] = 0 if m[2] else 1
+            # a link may hold blocks
+            self.link = -1 if closing or not HREF.search(attributes) else len(self.stack)
         elif tag == "br":
-            parts.append((" ", False))
+            self.parts.append((" ", False))
         elif tag not in INLINE:
-            flush()
-            state["links"] = 0
-            if m[2]:
-                close(tag)
-            elif tag not in VOID and not m[4].endswith("/"):
-                if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-                    stack.pop()
-                bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                site_header = tag == "header" and not main
-                stack.append((tag, bad or site_header or is_boilerplate(tag, m[4]), main or tag in MAIN))
-        elif m[4] and not m[2] and tag not in VOID and is_boilerplate(tag, m[4]):
+            self.flush()
+            if closing:
+                if any(s[0] == tag for s in self.stack):
+                    while self.pop() != tag:
+                        pass
+            elif tag not in VOID and not attributes.endswith("/"):
+                if tag == "html" and not self.lang and (found := LANG.search(attributes)):
+                    self.lang = found[1].lower()
+                if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and self.stack and self.stack[-1][0] == tag:
+                    self.pop()
+                site_header = tag == "header" and not self.where()[1]
+                self.push(tag, "out" if site_header else boilerplate(tag, attributes))
+        elif attributes and not closing and tag not in VOID and (bad := boilerplate(tag, attributes)):
             # a hidden or advertising inline element becomes a block of its own
-            flush()
-            bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            stack.append((tag, True, main))
-        elif m[2] and stack and stack[-1][0] == tag:
-            flush()
-            stack.pop()
-    if at < len(page):
-        parts.append((page[at:], state["links"] > 0))
-    flush()
-    return out
+            self.flush()
+            self.push(tag, bad)
+        elif closing and self.stack and self.stack[-1][0] == tag:
+            self.flush()
+            self.pop()
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page with text, in order."""
+    return Page(page).blocks
+
+
+def link_density(b: Block) -> float:
+    return b.linked / max(1, len(b.text.replace(" ", "")))
 
 
 def text_label(b: Block, density: float, stop_words: set[str]) -> str:
-    """good, bad, near or short, by the density of links, the length and the density of stop words."""
+    """good, bad, near or short, by the density of links, the length and the density of stop words.
+
+    Words of scripts without spaces can't be told, so such a block is judged by links and length alone.
+    """
     if density > LINKS:
         return "bad"
-    if len(b.text) < SHORT:
-        return "bad" if b.linked else "short"
+    unspaced = 0 if b.text.isascii() else len(UNSPACED.findall(b.text))
+    length = len(b.text) + (PER_CHARACTER - 1) * unspaced
+    if length < SHORT:
+        return "bad" if b.linked or b.text[0] == "\xa9" else "short"
+    if 2 * unspaced >= len(b.text):
+        return "good" if length > LONG else "near"
     words = b.text.lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in stop_words for w in words) / len(words)
     if stops >= STOP_HIGH:
-        return "good" if len(b.text) > LONG else "near"
+        return "good" if length > LONG else "near"
     return "near" if stops >= STOP_LOW else "bad"
 
 
-def first_pass(found: list[Block], stop_words: set[str]) -> None:
-    """Label blocks good, bad, near or short.
+def first_pass(found: list[Block], stop_words: set[str]) -> list[Block]:
+    """Label blocks good, bad, near or short; returns the blocks that the second pass has to look at together.
 
-    Every block outside boilerplate is judged by its text. Where <article> or <main> holds most of the good text,
-    few links are enough inside it, and what is open outside is bad.
+    Every block outside boilerplate is judged by its text. Where <article> or <main> holds most of the good text, a
+    block in it with few links is good or near, and what is open outside is bad. A page without any good text is its
+    <article> or <main>, but for blocks of links.
     """
-    shares = []
     for b in found:
-        density = b.linked / max(1, len(b.text.replace(" ", "")))
-        shares.append(density)
-        b.label = "bad" if b.bad or "\xa9" in b.text[:3] else text_label(b, density, stop_words)
+        b.label = "bad" if b.bad else text_label(b, link_density(b), stop_words)
+    inside = [b for b in found if b.main and not b.bad]
     size = lambda main: sum(len(b.text) for b in found if b.label == "good" and b.main == main)
-    if not any(b.main and not b.bad for b in found) or size(True) < size(False):
-        return
-    for b, density in zip(found, shares):
-        if b.bad or "\xa9" in b.text[:3]:
-            continue
-        if b.main:
-            b.label = "good" if density <= LINKS or b.heading else "short" if density <= 0.5 else "bad"
-        elif b.label != "good":
+    if not inside or size(True) < size(False):
+        return found
+    alone = not size(True)
+    for b in inside:
+        density = link_density(b)
+        if density <= LINKS or b.heading:
+            b.label = "good" if alone or b.label == "good" else "near"
+        else:
+            b.label = "short" if density <= 0.5 else "bad"
+    for b in found:
+        if not b.main and b.label != "good":
             b.label = "bad"
+    return inside
 
 
-def second_pass(found: list[Block]) -> None:
-    """Give open blocks the label of their nearest decided neighbours; the page's edges count as bad.
+def second_pass(found: list[Block], edge: str = "bad") -> None:
+    """Give open blocks the label of their nearest decided neighbours.
 
     Between two neighbours of one label a block takes it. Otherwise a middling block is good, a heading goes
     with what follows it, and any other short block is good only if the good neighbour is the nearer one.
+    edge: what the page's ends, or those of the main part, count as; if empty, the other neighbour decides, and
+    where there is none the block is good.
     """
     labels = [b.label for b in found]
     n = len(found)
-    before, last = [(None, 0)] * n, ("bad", -1)
+    before, last = [(None, 0)] * n, (edge, -1)
     for i, x in enumerate(labels):
         before[i] = last
         if x in ("good", "bad"):
             last = (x, i)
-    last = ("bad", n)
+    last = (edge, n)
     for i in range(n - 1, -1, -1):
         if labels[i] in ("good", "bad"):
             last = (labels[i], i)
             continue
         (left, l_at), (right, r_at) = before[i], last
-        if left == right:
-            found[i].label = left
+        if left == right or not left or not right:
+            found[i].label = left or right or "good"
         elif labels[i] == "near":
             found[i].label = "good"
         elif found[i].heading:
@@ -203,10 +269,10 @@ def extract(page: str | None) -> str:
     """The main text of a whole page, one space between blocks; empty for null or a page without any."""
     if not page:
         return ""
-    lang = LANG.search(page[:4096])
-    found = blocks(page)
-    first_pass(found, STOP_WORDS.get(lang[1].lower(), ALL_STOP_WORDS) if lang else ALL_STOP_WORDS)
-    second_pass(found)
+    scanned = Page(page)
+    found = scanned.blocks
+    together = first_pass(found, STOP_WORDS.get(scanned.lang, ALL_STOP_WORDS))
+    second_pass(together, "bad" if together is found else "")
     return " ".join(b.text for b in found if b.label == "good")
 
 
@@ -224,6 +290,7 @@ def main_text(page: Column) -> Column:
 def extract_pages(pages: DataFrame, html: str = "html", column: str = "text") -> DataFrame:
     """pages with the main text in a last column, with an underscore before its name if pages has it.
 
-    Null pages have an empty text; repeated rows stay repeated.
+    Null pages have an empty text; repeated rows stay repeated. A page of any length is read whole, in memory of a
+    few times its size. An empty table gives no rows.
     """
     return pages.withColumn(fresh(pages, column)[0], main_text(F.col(html)))
