@@ -11,6 +11,8 @@ vouches for itself; the lexicon that is kept comes from both.
 from __future__ import annotations
 
 import re
+import warnings
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -190,10 +192,11 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: f
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing fit of y on score (pool adjacent violators)."""
+    """Knots of the non-decreasing fit of y on score (pool adjacent violators); equal scores are one place."""
     blocks: list[list[float]] = []
-    for s, t in sorted(zip(score.tolist(), y.tolist())):
-        blocks.append([s, t, 1.0])
+    places, at = np.unique(score, return_inverse=True)
+    for s, t, k in zip(places.tolist(), np.bincount(at, y).tolist(), np.bincount(at).tolist()):
+        blocks.append([s, t, k])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             a = blocks.pop()
             blocks[-1] = [(blocks[-1][0] * blocks[-1][2] + a[0] * a[2]) / (blocks[-1][2] + a[2]), blocks[-1][1] + a[1], blocks[-1][2] + a[2]]
@@ -248,7 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """A model from at most `sample` labelled rows, chosen by the hash of their id.
 
     Labels other than 0 and 1 are left out; a row labelled twice is toxic if one of its labels says so. With
-    fewer than 10 rows of either label the model is the fixed lexicon alone.
+    fewer than 10 rows of either label, or 5 in a fold, the model is the fixed lexicon alone, and a warning says so.
+    doc_id: any type that both tables share. The learned lexicon has LEARNED entries at most, the most telling ones.
     """
     small_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "toxicity")
@@ -263,17 +267,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         release()
         tables = {True: TokenTable(second), False: TokenTable(first)}
         for b in batches:
-            yield pd.DataFrame({"x": [features(t, tables[h]) for t, h in zip(b["text"], b["half"])], "toxic": b["toxic"], "id": b["_id"]})
+            yield pd.DataFrame({"x": [features(t, tables[h]) for t, h in zip(b["text"], b["half"])], "toxic": b["toxic"], "id": b["_id"].astype(str)})
 
-    got = rows.mapInPandas(vectors, "x array<float>, toxic int, id long").toPandas().sort_values(["id", "toxic"], kind="stable")
+    got = rows.mapInPandas(vectors, "x array<float>, toxic int, id string").toPandas()
+    got = got.iloc[sorted(range(len(got)), key=lambda i: (zlib.crc32(got["id"].iloc[i].encode()), got["id"].iloc[i], got["toxic"].iloc[i], tuple(got["x"].iloc[i])))]
     work.drop()
     y = got["toxic"].to_numpy(dtype=float)
-    if y.sum() < 10 or (1 - y).sum() < 10:
-        return Model(learned)
-    x = np.stack(got["x"].to_numpy())
     fold = np.arange(len(y)) % 3 == 0
-    if min(y[fold].sum(), (1 - y[fold]).sum(), y[~fold].sum(), (1 - y[~fold]).sum()) < 5:
+    counts = [int(side.sum()) for part in (y[fold], y[~fold]) for side in (part, 1 - part)]
+    if counts[0] + counts[2] < 10 or counts[1] + counts[3] < 10 or min(counts) < 5:
+        warnings.warn(f"too few labels to fit trees: {counts[0] + counts[2]} toxic, {counts[1] + counts[3]} clean; scores come from the fixed lexicon", stacklevel=2)
         return Model(learned)
+    x = np.stack(got["x"].to_numpy())
     trees = boost(x[~fold], y[~fold])
     return Model(learned, trees, isotonic(trees.margin(x[fold]), y[fold]))
 
@@ -297,6 +302,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """docs with the score in a last column, with an underscore before its name if docs has it."""
+    """docs with the score in a last column, with an underscore before its name if docs has it.
+
+    Texts of any length are scored whole; null and empty ones as texts without words. Repeated rows stay repeated and
+    score the same. An empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     return docs.withColumn(fresh(docs, column)[0], toxicity_score(F.col(text), model))
