@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, fresh
 
 # Fixed values of the seekable format and of the WARC standard.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -31,6 +31,8 @@ DATE = "1970-01-01T00:00:00Z"
 INDEX_SCHEMA = "record_id string, bundle string, frame int, frame_start long, frame_bytes long, offset long, length long"
 RECORD_SCHEMA = "record_id string, target_uri string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, bundle string"
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 64 << 20
+# Compressed bytes that a task reads back, more or less; tasks at most.
+READ_BYTES, READ_TASKS = 16 << 20, 20_000
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -153,17 +155,19 @@ class BundleWriter:
 
 
 def mark_revisits(df: DataFrame, record_id: str, payload: str, least_bytes: int = 0) -> DataFrame:
-    """df with _digest (hex), _size and _refers (id of the response, null for responses).
+    """df with _digest (hex), _size and _refers (id of the response, null for responses), with more underscores
+    before a name that df has.
 
     Rows that share the smallest id of their group are each a response. A null id is the smallest only where
     a group has no other. Two thirds of the work is on narrow rows; the join on the digest is left to the
     adaptive planner, which splits a digest that many rows share.
     """
-    marked = df.withColumns({"_digest": F.sha1(F.coalesce(F.col(payload), F.lit(b""))), "_size": F.coalesce(F.octet_length(payload), F.lit(0)).cast("long")})
-    firsts = marked.where(F.col("_size") >= least_bytes).groupBy("_digest", "_size").agg(F.min(record_id).alias("_first"))
-    joined = marked.join(firsts, ["_digest", "_size"], "left")
-    later = F.col("_first").isNotNull() & ~F.col(record_id).eqNullSafe(F.col("_first"))
-    return joined.withColumn("_refers", F.when(later, F.col("_first"))).drop("_first")
+    digest, size, refers, first = fresh(df, "_digest", "_size", "_refers", "_first")
+    marked = df.withColumns({digest: F.sha1(F.coalesce(F.col(payload), F.lit(b""))), size: F.coalesce(F.octet_length(payload), F.lit(0)).cast("long")})
+    firsts = marked.where(F.col(size) >= least_bytes).groupBy(digest, size).agg(F.min(record_id).alias(first))
+    joined = marked.join(firsts, [digest, size], "left")
+    later = F.col(first).isNotNull() & ~F.col(record_id).eqNullSafe(F.col(first))
+    return joined.withColumn(refers, F.when(later, F.col(first))).drop(first)
 
 
 def write_bundles(df: DataFrame, folder: str, record_id: str, uri: str, payload: str, least_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = 3) -> DataFrame:
@@ -171,6 +175,7 @@ def write_bundles(df: DataFrame, folder: str, record_id: str, uri: str, payload:
 
     Write the index once (see archive) and use that copy: evaluating it writes the bundles. payload: string,
     taken as UTF-8, or binary; null counts as empty. Null ids are written as empty ids, null URIs as empty ones.
+    A record longer than frame_bytes is a frame of its own. An empty table gives no bundles.
     """
     rows = df.select(F.col(record_id).alias("id"), F.col(uri).cast("string").alias("uri"), F.col(payload).cast("binary").alias("payload"))
     rows = mark_revisits(rows, "id", "payload", least_bytes)
@@ -193,8 +198,16 @@ def write_bundles(df: DataFrame, folder: str, record_id: str, uri: str, payload:
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """Every record of the bundles in an index, read back frame by frame, with digests verified."""
-    bundles = index.select("bundle").distinct()
+    """Every record of the bundles in an index, read back frame by frame, with digests verified.
+
+    A task takes a range of frames of one bundle: it reads the seek table and then only those frames.
+    """
+    sizes = index.groupBy("bundle").agg((F.max("frame") + 1).alias("n"), F.max(F.col("frame_start") + F.col("frame_bytes")).alias("bytes"))
+    parts = F.least(F.col("n"), F.ceil(F.col("bytes") / READ_BYTES)).cast("int")
+    pieces = sizes.select("bundle", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    n_pieces = sizes.agg(F.coalesce(F.sum(parts), F.lit(0))).first()[0]
+    # an explicit number of partitions, which the adaptive planner leaves alone
+    pieces = pieces.repartition(max(1, min(READ_TASKS, n_pieces)), "bundle", "part")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -202,10 +215,11 @@ def read_bundles(index: DataFrame) -> DataFrame:
         press = zstandard.ZstdDecompressor()
         names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
         for b in batches:
-            for bundle in b["bundle"]:
+            for bundle, parts, part in zip(b["bundle"], b["parts"], b["part"]):
                 store, path = _store(bundle)
                 with store.open_input_file(path) as f:
-                    for start, packed, size in read_seek_table(f):
+                    frames = read_seek_table(f)
+                    for start, packed, size in frames[len(frames) * part // parts : len(frames) * (part + 1) // parts]:
                         f.seek(start)
                         data, at, found = press.decompress(f.read(packed), max_output_size=size), 0, []
                         while at < len(data):
@@ -213,7 +227,7 @@ def read_bundles(index: DataFrame) -> DataFrame:
                             found.append(one | {"bundle": bundle})
                         yield pd.DataFrame(found, columns=names)
 
-    return bundles.mapInPandas(read, RECORD_SCHEMA)
+    return pieces.mapInPandas(read, RECORD_SCHEMA)
 
 
 def read_record(entry: dict) -> dict:
