@@ -102,4 +102,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash": oracles.NEAR_DUPLICATES, "op4_warc": oracles.WARC, "op10_decontamination": oracles.DECONTAMINATION}
+    return {"op3_histogram_sort": oracles.SHARDS, "op5_minhash": oracles.NEAR_DUPLICATES, "op4_warc": oracles.WARC, "op10_decontamination": oracles.DECONTAMINATION}

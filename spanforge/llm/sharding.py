@@ -4,7 +4,9 @@ Splitters are found without sorting: each round counts, over all partitions, the
 candidate key boundaries and narrows the bracket of every splitter, until the bracket is down to one key or
 within the tolerance. Only narrow (key, tie, size) columns are read again in these rounds. Then the rows are
 exchanged once, to cells (parts of shards), and numbered inside their cell; exact counts below each cell give
-the gapless slot in the shard. A key that many rows share is split by the hash of the row.
+the gapless slot in the shard. A key that many rows share is split by the hash of the row, and rows that are equal
+in every column by their count, as it doesn't matter which of them goes where. Rows are never kept together for
+having equal texts: a group of copies is dealt in key order like any other rows, or the sizes would not be near equal.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ WIDE = "decimal(20,0)"
 
 @dataclass(frozen=True)
 class Edge:
-    """A boundary: the rows before it have (key, tie) < (key, tie) of the edge, in all so many bytes and rows."""
+    """A boundary: so many bytes and rows are before it, those with (key, tie) < (key, tie) of the edge and `inside`
+    of those equal to it."""
 
     key: int
     tie: int
     bytes: int
     rows: int
+    inside: int = 0
 
 
 def _index(value: Column, edges: list, literal) -> Column:
@@ -98,8 +102,8 @@ def refine(rows: DataFrame, column: str, targets: list[int], tolerance: int, low
 def splitters(keys: DataFrame, parts: int, tolerance: int = 0) -> tuple[list[Edge], tuple[int, int]]:
     """parts - 1 edges that cut (key, tie, size) rows into parts of nearly equal bytes, and the totals.
 
-    With tolerance 0 each edge is the one nearest to its share, ties to the lower. Rows equal in key and tie
-    stay together.
+    With tolerance 0 each edge is the one nearest to its share, ties to the lower. Rows equal in key and tie have
+    equal sizes.
     """
     t = keys.agg(F.min("key"), F.max("key"), F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     total = (t[2], t[3])
@@ -121,7 +125,13 @@ def splitters(keys: DataFrame, parts: int, tolerance: int = 0) -> tuple[list[Edg
     out = []
     for target in targets:
         lo, hi = found.get(target) or tuple(Edge(e[0], LOWEST, e[1], e[2]) for e in brackets[target])
-        out.append(lo if target - lo.bytes <= hi.bytes - target else hi)
+        if (n := hi.rows - lo.rows) > 1 and target in found and lo.key == hi.key and hi.tie - lo.tie == 1 and hi.bytes > lo.bytes:
+            # equal rows: as many of them as come nearest
+            each = (hi.bytes - lo.bytes) // n
+            k = min(n, max(0, (2 * (target - lo.bytes) + each - 1) // (2 * each)))
+            out.append(Edge(lo.key, lo.tie, lo.bytes + k * each, lo.rows + k, k) if k < n else hi)
+        else:
+            out.append(lo if target - lo.bytes <= hi.bytes - target else hi)
     return out, total
 
 
@@ -130,12 +140,12 @@ def histogram_sort_shards(df: DataFrame, n_shards: int, key: str = "doc_id", siz
 
     key: a column of integers; a null key comes first. size: bytes of a row as an integer column, 1 if not
     given. tolerance: bytes by which a boundary may miss its share; 0 takes the nearest boundary there is.
-    cell_rows: about how many rows one task sorts. Rows equal in every column stay in one shard. An empty
-    table gives no rows. Further columns pass through; slot and shard come last, with an underscore before
-    a name that df has.
+    cell_rows: about how many rows one task sorts. Rows equal in every column have one size and may be split. Long
+    texts are one row each, whatever their share. An empty table gives no rows. Further columns pass through; slot and
+    shard come last, with an underscore before a name that df has.
     """
     spark = df.sparkSession
-    k, t, s, cell, slot_name, shard_name = fresh(df, "key", "tie", "size", "cell", slot_name, shard_name)
+    k, t, s, cell, row, slot_name, shard_name = fresh(df, "key", "tie", "size", "cell", "row", slot_name, shard_name)
     position = F.coalesce(F.col(key).cast("long"), F.lit(LOWEST))
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     full = df.withColumns({k: position, t: tie, s: (F.lit(1) if size is None else size).cast("long")})
@@ -146,16 +156,15 @@ def histogram_sort_shards(df: DataFrame, n_shards: int, key: str = "doc_id", siz
     inner = [] if per_shard == 1 else splitters(keys, n_shards * per_shard, max(1, n_bytes // (n_shards * per_shard) // 10))[0]
     work.drop()
     place = lambda e: (e.key, e.tie)
+    # a cell begins before the rows equal to its edge; slots and shards follow from the number of the row in all
     cells = sorted({place(e): e for e in [*inner, *edges]}.values(), key=place)
-    shards = sorted(place(e) for e in edges)
-    starts = [Edge(LOWEST, LOWEST, 0, 0), *cells]
-    shard_of = [bisect_right(shards, place(e)) if i else 0 for i, e in enumerate(starts)]
-    first = {}
-    for e, sh in zip(starts, shard_of):
-        first.setdefault(sh, e.rows)
-    base = [e.rows - first[sh] for e, sh in zip(starts, shard_of)]
+    base = [0, *(e.rows - e.inside for e in cells)]
+    firsts = sorted(e.rows for e in edges)
     literal = lambda e: F.struct(F.lit(e.key).cast("long").alias("key"), F.lit(e.tie).cast("long").alias("tie"))
     at = _index(F.struct(F.col(k).alias("key"), F.col(t).alias("tie")), cells, literal) if cells else F.lit(0)
     pick = lambda xs, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in xs]), F.col(cell) + 1)
     number = F.row_number().over(Window.partitionBy(cell).orderBy(k, t))
-    return full.withColumn(cell, at).withColumns({slot_name: pick(base, "long") + number - 1, shard_name: pick(shard_of, "int")}).drop(k, t, s, cell)
+    numbered = full.withColumn(cell, at).withColumn(row, pick(base, "long") + number - 1)
+    shard = _index(F.col(row), firsts, lambda v: F.lit(v).cast("long")).cast("int") if firsts else F.lit(0)
+    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in [0, *firsts]]), shard + 1)
+    return numbered.withColumns({slot_name: F.col(row) - start, shard_name: shard}).drop(k, t, s, cell, row)

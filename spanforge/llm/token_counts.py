@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, held
+from .common import Workspace, held, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -88,5 +88,10 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens", block: int =
 
 
 def token_counts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The length histogram of a table of texts. Null and empty texts have length 0; repeated rows count each time."""
+    """The length histogram of a table of texts.
+
+    Null and empty texts have length 0; repeated rows count each time. Texts are encoded whole, however long. Other
+    columns are not read, so their names can't clash. An empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
     return length_histogram(docs.select(token_length(F.col(text), vocabulary).alias("n_tokens")))

@@ -54,6 +54,21 @@ def test_shards_match_brute_force(spark, sizes, n):
         assert [slot for _, x, slot in got if x == s] == list(range(sum(x == s for _, x, _ in got)))
 
 
+def test_equal_rows_are_split(spark):
+    got = sharded(spark, [(7, 10)] * 1000, 4)
+    assert [sum(s == i for _, s, _ in got) for i in range(4)] == [250] * 4
+    assert all(sorted(slot for _, s, slot in got if s == i) == list(range(250)) for i in range(4))
+    rows = [(1, 5)] * 90 + [(2, 5), (3, 40)] + [(3, 40)] * 20
+    got = sharded(spark, rows, 6, cell_rows=10)
+    assert [s for _, s, _ in got] == shares(rows, 6)
+    for s in range(6):
+        assert sorted(slot for _, x, slot in got if x == s) == list(range(sum(x == s for _, x, _ in got)))
+
+
+def test_op3_matches_sql(spark, sf_dir):
+    same(queries.op3_histogram_sort(spark, sf_dir), connect(sf_dir), queries.oracle_sql()["op3_histogram_sort"])
+
+
 def test_many_cells_and_slots(spark):
     rows = [(i, 1 + i % 7) for i in range(3000)]
     got = sharded(spark, rows, 5, cell_rows=50)
@@ -199,8 +214,23 @@ def test_token_lengths(spark):
 
 
 def test_op8(spark, sf_dir):
-    rows = queries.op8_token_counts(spark, sf_dir).collect()
-    assert sum(r.n_docs for r in rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() == rows[0].total_docs
+    """Every column against brute force over the whole table, by another library of the same vocabulary."""
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    lengths = [len(t.encode(r.text or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows = {r.n_tokens: r for r in queries.op8_token_counts(spark, sf_dir).collect()}
+    assert set(rows) == set(lengths)
+    for n, r in rows.items():
+        whole = sum(x <= n for x in lengths)
+        expect = (lengths.count(n), sum(x >= n for x in lengths), sum(x for x in lengths if x >= n), sum(min(x, n) for x in lengths), whole, whole / len(lengths), len(lengths), sum(lengths))
+        assert tuple(r)[1:] == expect
+
+
+def test_repeated_rows_count_each_time(spark):
+    rows = [(1, "Hello world")] * 3 + [(2, None), (2, "")]
+    got = token_counts.token_counts(docs(spark, rows).withColumn("n_tokens", F.lit(9))).collect()
+    assert sorted((r.n_tokens, r.n_docs) for r in got) == [(0, 2), (2, 3)]
 
 
 # Shared helpers
