@@ -31,6 +31,8 @@ COORDINATES = 32
 # Chance that a pair at the threshold is not a candidate.
 MISS = 2e-5
 PIVOTS, BLOCK = 8, 512
+# Shingles of the texts that meet in one block, more or less.
+BLOCK_SHINGLES = 4_000_000
 
 _FACTORS = np.random.default_rng(97).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -110,12 +112,18 @@ class Forest:
         return i != j
 
 
-def confirmed_links(reps: list[int], parts: list[int], texts: list[str], anchors: np.ndarray, n: int, coordinates: int, matches: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between anchors (a mask) and all rows; rows of equal parts are connected already."""
-    sets = [shingle_set(t, n) for t in texts]
-    sizes = np.array([len(s) for s in sets])
-    signs = np.stack([signature(s, coordinates) for s in sets])
-    forest, out = Forest(parts), []
+def confirmed_links(reps: list[int], parts: list[int], texts: list[str], sizes: np.ndarray, signs: np.ndarray, anchors: np.ndarray, n: int, matches: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between anchors (a mask) and all rows; rows of equal parts are connected already.
+
+    Only pairs with enough collisions of their signatures, and not connected yet, are compared on their full sets.
+    """
+    forest, out, known = Forest(parts), [], {}
+
+    def shingled(i: int) -> np.ndarray:
+        if i not in known:
+            known[i] = shingle_set(texts[i], n)
+        return known[i]
+
     order = np.nonzero(anchors)[0]
     done = np.zeros(len(reps), dtype=bool)
     for i in order:
@@ -126,7 +134,7 @@ def confirmed_links(reps: list[int], parts: list[int], texts: list[str], anchors
         for j in maybe[np.argsort(-hits[maybe], kind="stable")]:
             if forest.find(i) == forest.find(j):
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            both = len(np.intersect1d(shingled(i), shingled(j), assume_unique=True))
             if 100 * both >= percent * (sizes[i] + sizes[j] - both):
                 forest.unite(i, j)
                 out.append((reps[i], reps[j]))
@@ -139,44 +147,47 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest doc_id reachable, kept marks that document. Without words a document is linked with nothing. Rows
     that share a doc_id are one node. A row without doc_id joins the component of equal texts (and is not
-    kept), or has none and is kept. An empty table gives no rows; other columns are not read.
+    kept), or has none and is kept. Texts are read whole, however long; those that meet in one task are bounded in
+    number and in shingles. An empty table gives no rows; other columns are not read.
     """
     matches = match_threshold(coordinates, percent)
     small_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "near-duplicates")
     signed = work.stash(signatures(docs, doc_id, text, n, coordinates), "signatures")
-    classes = signed.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).where("rep is not null")
+    classes = signed.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size")).where("rep is not null")
+    classes = work.stash(classes.select("rep", "sig", "size"), "classes")
     posted = work.stash(prefixes(classes, coordinates, matches), "prefixes")
     hubs = posted.groupBy("key").agg(F.min("rep").alias("hub"))
     star = posted.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = connected_components(work.stash(star, "stars"), work).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
     weights = posted.groupBy("rep").agg(F.first("weight").alias("weight"))
     clusters = work.stash(clusters.join(weights, "rep"), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    clusters = clusters.join(classes, "rep")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("m_blocks"))
     clusters = work.stash(clusters.join(sizes, "cluster"), "sized")
+    about = clusters.select("rep", "sig", "size")
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
     texts = work.stash(only(texts, clusters.select("rep"), "rep"), "texts")
     edge = "a long, b long"
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         anchors = pdf["anchor"].to_numpy(dtype=bool)
-        links = confirmed_links(pdf["rep"].tolist(), pdf["part"].tolist(), pdf["text"].tolist(), anchors, n, coordinates, matches, percent)
+        links = confirmed_links(pdf["rep"].tolist(), pdf["part"].tolist(), pdf["text"].tolist(), pdf["size"].to_numpy(), np.stack(pdf["sig"].to_numpy()), anchors, n, matches, percent)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    few = clusters.where(F.col("n") <= BLOCK).select("rep", "cluster", F.col("rep").alias("part"), F.lit(True).alias("anchor"))
+    few = clusters.where("m_blocks = 1").select("rep", "cluster", F.col("rep").alias("part"), F.lit(True).alias("anchor"), "sig", "size")
     links = few.join(texts, "rep").groupBy("cluster").applyInPandas(compare, edge)
     links = work.stash(links, "links")
-    many = clusters.where(F.col("n") > BLOCK)
+    many = clusters.where("m_blocks > 1").drop("sig", "size")
     if not many.isEmpty():
         block = lambda of: F.pmod(F.xxhash64("rep"), of.cast("long")).cast("int")
-        many = many.withColumn("m_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         # Pivots: the classes whose postings are the most common, found without sorting a cluster in one task.
         top = _top(many)
         with_blocks = top.join(many, ["cluster", "rep"]).select("rep", "cluster", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("block"), F.lit(True).alias("anchor"))
         members = many.select("rep", "cluster", block(F.col("m_blocks")).alias("block"), F.lit(False).alias("anchor"))
         members = members.join(top.withColumn("is_top", F.lit(True)), ["cluster", "rep"], "left").where("is_top is null").drop("is_top")
         round1 = with_blocks.unionByName(members).withColumn("part", F.col("rep"))
-        found = work.stash(round1.join(texts, "rep").groupBy("cluster", "block").applyInPandas(compare, edge), "pivot-links")
+        found = work.stash(round1.join(about, "rep").join(texts, "rep").groupBy("cluster", "block").applyInPandas(compare, edge), "pivot-links")
         parts = connected_components(found.union(many.select(F.col("rep").alias("a"), F.col("rep").alias("b"))), work)
         parts = work.stash(parts.select(F.col("node").alias("rep"), F.col("component").alias("part")).join(many, "rep"), "parts")
         by_part = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("k"))
@@ -187,7 +198,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         asks = outside.join(out_size, "cluster").select("rep", "part", "cluster", block(F.col("a_blocks")).alias("ablock"), spread("m_blocks", "mblock"), F.lit(True).alias("anchor"))
         told = parts.join(out_size, "cluster").select("rep", "part", "cluster", spread("a_blocks", "ablock"), block(F.col("m_blocks")).alias("mblock"), F.lit(False).alias("anchor"))
         round2 = asks.unionByName(told)
-        more = work.stash(round2.join(texts, "rep").groupBy("cluster", "ablock", "mblock").applyInPandas(compare, edge), "outside-links")
+        more = work.stash(round2.join(about, "rep").join(texts, "rep").groupBy("cluster", "ablock", "mblock").applyInPandas(compare, edge), "outside-links")
         links = links.union(found).union(more)
     joined = connected_components(links, work).withColumnRenamed("node", "rep").withColumnRenamed("component", "component_id")
     keep = signed.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))

@@ -96,6 +96,44 @@ def test_nulls_repeats_and_empty(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_a_template(spark):
+    """Hundreds of pages around one template, at a similarity of some 0.6, are not linked; their copies are."""
+    rng = random.Random(9)
+    template = prose(rng, 150)
+    rows = [(i, " ".join(template + prose(rng, 50))) for i in range(700)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 700, 100)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+
+
+def test_blocks_bounded_in_shingles(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1500)
+    rng = random.Random(5)
+    base = prose(rng, 100)
+    rows = [(i, " ".join(edited(rng, base, rng.randrange(0, 4)))) for i in range(60)]
+    expect, _ = components(rows, 85)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), percent=85).collect()} == expect
+
+
+def test_a_template(spark):
+    """Hundreds of pages around one template, at a similarity of some 0.6, are not linked; their copies are."""
+    rng = random.Random(9)
+    template = prose(rng, 150)
+    rows = [(i, " ".join(template + prose(rng, 50))) for i in range(700)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 700, 100)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+
+
+def test_blocks_bounded_in_shingles(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1500)
+    rng = random.Random(5)
+    base = prose(rng, 100)
+    rows = [(i, " ".join(edited(rng, base, rng.randrange(0, 4)))) for i in range(60)]
+    expect, _ = components(rows, 85)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), percent=85).collect()} == expect
+
+
 def test_threshold():
     assert minhash.match_threshold(32, 100) == 32
     assert 14 <= minhash.match_threshold(32, 85) <= 19
@@ -263,6 +301,14 @@ def test_remove_repeats(spark):
     assert got == {1: rows[0][1], 2: " ".join(a) + "\n" + " ".join(b), 4: None, 5: "clean", None: rows[5][1]}
 
 
+def test_texts_of_one_id_are_cut_each_by_its_own(spark):
+    rng = random.Random(5)
+    p, other = prose(rng, 60), prose(rng, 90)
+    rows = [(1, " ".join(p)), (2, " ".join(p + other[:5])), (2, " ".join(other)), (2, " ".join(other))]
+    got = sorted((r.doc_id, r.text) for r in sd.remove_repeats(docs(spark, rows)).collect())
+    assert got == sorted([rows[0], (2, " ".join(other[:5])), rows[2], rows[3]])
+
+
 def test_cut_words():
     assert sd.cut_words("a b\nc d", [(1, 3)]) == "a d"
     assert sd.cut_words(" a b ", [(0, 1), (1, 2)]) == ""
