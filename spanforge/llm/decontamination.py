@@ -20,8 +20,8 @@ from .common import Workspace, fresh, small
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Rows up to which a side is broadcast: at about 100 bytes a term, and 500 bytes a candidate, 64 MB at most.
-BROADCAST_TERMS, BROADCAST_CANDIDATES = 500_000, 100_000
+# Terms up to which they are broadcast, some 100 bytes each, and bytes up to which candidates are.
+BROADCAST_TERMS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -78,16 +78,16 @@ def diagonals(index: DataFrame, anchors: DataFrame) -> DataFrame:
     return lists.agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("need")).where("met >= need").drop("met", "need")
 
 
-def _windows_on(c: Column, text_words: Column) -> Column:
+def _windows_on(c: Column, diagonal: Column, text_words: Column) -> Column:
     """The spans of the item's windows that the document has on a diagonal."""
     starts = F.sequence(F.lit(0), F.size(c["item_words"]) - c["width"])
 
     def occurs(s: Column) -> Column:
-        at = c["diagonal"] + s
+        at = diagonal + s
         inside = (at >= 0) & (at + c["width"] <= F.size(text_words))
         return F.when(inside, F.slice(text_words, F.greatest(at, F.lit(0)) + 1, c["width"]) == F.slice(c["item_words"], s + 1, c["width"])).otherwise(False)
 
-    return F.transform(F.filter(starts, occurs), lambda s: F.struct((c["diagonal"] + s).alias("start"), (c["diagonal"] + s + c["width"]).alias("end"), c["item_id"].alias("item_id")))
+    return F.transform(F.filter(starts, occurs), lambda s: F.struct((diagonal + s).alias("start"), (diagonal + s + c["width"]).alias("end"), c["item_id"].alias("item_id")))
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, rarest: int = 3) -> DataFrame:
@@ -95,7 +95,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
 
     A hit is an occurrence of n consecutive words of an item, or of a whole item of fewer words. Items without id
     or words, null texts and empty tables give no hits. Rows that share a doc_id, a null one included, are
-    matched each against its own text. docs keeps its columns; words and hits come last, with an underscore
+    matched each against its own text. A text of any length is matched whole; what its candidates add to its row is the
+    words of each item that may occur in it, once, and a number for each diagonal. docs keeps its columns; words and hits come last, with an underscore
     before a name that docs has.
     """
     words_name, hits_name, doc, lined_name = fresh(docs, "words", "hits", "doc", "lined")
@@ -105,12 +106,15 @@ def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
     counts = work.stash(term_counts(docs, terms, doc_id, text), "term-counts")
     anchors = work.stash(rarest_terms(wanted, counts, rarest), "rarest-terms")
     index = work.stash(postings(docs, anchors.select("term").distinct(), doc_id, text), "postings")
-    lined = diagonals(index, anchors).join(wanted, "item")
-    one = F.struct("diagonal", "item_id", "item_words", "width")
-    found = work.stash(lined.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(one).alias(lined_name)), "candidates")
+    # an item's words once for each document that may hold it, however many diagonals they have
+    lined = diagonals(index, anchors).groupBy("doc_id", "item").agg(F.collect_list("diagonal").alias("diagonals")).join(wanted, "item")
+    one = F.struct("diagonals", "item_id", "item_words", "width")
+    found = lined.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(one).alias(lined_name))
+    found = work.stash(found, "candidates")
     texts = docs.withColumn(words_name, words(F.col(text)))
-    joined = texts.join(small(found, BROADCAST_CANDIDATES), F.col(doc_id).eqNullSafe(F.col(doc)), "left")
-    hits = F.flatten(F.transform(F.col(lined_name), lambda c: _windows_on(c, F.col(words_name))))
+    joined = texts.join(bounded(found, lined_name), F.col(doc_id).eqNullSafe(F.col(doc)), "left")
+    on = lambda c: F.flatten(F.transform(c["diagonals"], lambda d: _windows_on(c, d, F.col(words_name))))
+    hits = F.flatten(F.transform(F.col(lined_name), on))
     empty = F.from_json(F.lit("[]"), found.select(hits_type(lined_name)).schema[0].dataType)
     return joined.withColumn(hits_name, F.coalesce(hits, empty)).drop(doc, lined_name)
 
@@ -118,7 +122,14 @@ def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
 def hits_type(lined: str) -> Column:
     """An expression of the type of hits, for the empty case."""
     c = F.col(lined)[0]
-    return F.array(F.struct(c["diagonal"].alias("start"), c["diagonal"].alias("end"), c["item_id"].alias("item_id")))
+    return F.array(F.struct(c["diagonals"][0].alias("start"), c["diagonals"][0].alias("end"), c["item_id"].alias("item_id")))
+
+
+def bounded(found: DataFrame, lined: str) -> DataFrame:
+    """The candidates, to be broadcast if they take at most BROADCAST_BYTES; else the join is left to shuffle."""
+    entry = F.aggregate(lined, F.lit(0).cast("long"), lambda a, c: a + 4 * F.size(c["diagonals"]) + F.aggregate(c["item_words"], F.lit(64), lambda n, w: n + 16 + F.octet_length(w)))
+    size = found.agg(F.coalesce(F.sum(entry + 64), F.lit(0))).first()[0]
+    return F.broadcast(found) if size <= BROADCAST_BYTES else found
 
 
 def covered(hits: Column) -> Column:

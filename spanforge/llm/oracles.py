@@ -55,14 +55,14 @@ d AS (SELECT doc_id, text, CAST(strlen(coalesce(text, '')) AS BIGINT) + 16 AS si
   list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
 c AS (SELECT doc_id, size, CASE WHEN text IS NOT NULL THEN
   xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]))) END AS text_crc32 FROM d, t),
-e AS (SELECT *, CAST(sum(size) OVER w AS BIGINT) - size AS below, row_number() OVER w - 1 AS at FROM c WINDOW w AS (ORDER BY doc_id)),
+e AS (SELECT *, CAST(sum(size) OVER w AS BIGINT) - size AS below, row_number() OVER w - 1 AS pos FROM c WINDOW w AS (ORDER BY doc_id)),
 total AS (SELECT CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n FROM c),
-edges AS (SELECT below, at FROM e UNION ALL SELECT bytes, n FROM total),
+edges AS (SELECT below, pos FROM e UNION ALL SELECT bytes, n FROM total),
 cuts AS (
-  SELECT i, arg_min(at, (abs(below - (bytes * i) // 40), at)) AS cut FROM total, (SELECT unnest(range(1, 40)) AS i), edges GROUP BY i
+  SELECT i, arg_min(pos, (abs(below - (bytes * i) // 40), pos)) AS cut FROM total, (SELECT unnest(range(1, 40)) AS i), edges GROUP BY i
 )
-SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(count(cut) AS INTEGER) AS shard, CAST(at - coalesce(max(cut), 0) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
-FROM e LEFT JOIN cuts ON cut <= at GROUP BY doc_id, size, text_crc32, at
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(count(cut) AS INTEGER) AS shard, CAST(pos - coalesce(max(cut), 0) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM e LEFT JOIN cuts ON cut <= pos GROUP BY doc_id, size, text_crc32, pos
 """
 
 _SHINGLES = r"""

@@ -104,8 +104,7 @@ class Codec:
         """The ids of a segment, remembered if it is short; what isn't asked for is forgotten in two steps."""
         if (got := self.old.get(text)) is None:
             search, marked = StreamingViterbi(self), text.replace(" ", SPACE)
-            # a short segment is left to the end
-            got = (*(search.feed(marked) if len(marked) > STEP else search.take(marked)), *search.finish())
+            got = (*search.feed(marked), *search.finish())
         if len(text) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.old, self.memo = self.memo, {}
@@ -154,11 +153,6 @@ class StreamingViterbi:
                 out += self._commit(self._meeting())
         return out
 
-    def take(self, part: str) -> list[int]:
-        """Add characters without looking for ids to commit."""
-        self._add(part)
-        return []
-
     def finish(self) -> list[int]:
         """The ids that are left."""
         self._search(len(self.text))
@@ -249,7 +243,8 @@ def decode(ids: Column, path: str = MODEL) -> Column:
 def encode_documents(docs: DataFrame, text: str = "text", path: str = MODEL, ids: str = "token_ids", count: str = "n_tokens", check: str = "round_trip") -> DataFrame:
     """docs with the ids of each whole text, their number, and whether decoding them gives the text back.
 
-    Null and empty texts have no ids. The round trip fails where a text holds U+2581 itself, which SentencePiece
+    Null and empty texts have no ids, repeated rows stay repeated, a text of any length is encoded whole, and an empty
+    table gives no rows. The round trip fails where a text holds U+2581 itself, which SentencePiece
     reads as a space. The three columns come last, with an underscore before a name that docs has.
     """
     small_batches(docs.sparkSession)

@@ -161,7 +161,7 @@ def test_empty_tables_and_clashes(spark):
 
 def test_joins_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(dc, "BROADCAST_TERMS", 0)
-    monkeypatch.setattr(dc, "BROADCAST_CANDIDATES", 0)
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", -1)
     rows, items = [(1, "a b c d"), (2, "b c x")], [(1, "b c"), (2, "c d")]
     assert matched(spark, rows, items) == brute(rows, items)
 
