@@ -124,6 +124,37 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(basename(path), r"^.+(\.[^.]*)$", 1)
 
 
+def normalize(path: Column) -> Column:
+    """Without doubled separators and components of one dot; "." if nothing is left."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    body = F.array_join(parts, "/")
+    return F.when(path.startswith("/"), F.concat(F.lit("/"), body)).when(body == "", ".").otherwise(body)
+
+
+def add_relative_prefix(path: Column) -> Column:
+    """./ before a relative path that doesn't begin with ./ or ../ yet."""
+    as_is = (path == ".") | (path == "..") | path.startswith("/") | path.startswith("./") | path.startswith("../")
+    return F.when(as_is, path).otherwise(F.concat(F.lit("./"), path))
+
+
+# What listings leave out unless told otherwise.
+IGNORED = [".git", ".svn", ".hg", "node_modules", "dist", "build", "target", "__pycache__", "venv", "env", "tmp", "temp", ".zig-cache", "zig-out", "deps", "archive"]
+HIDDEN = [".DS_Store", "Thumbs.db"]
+
+
+def should_hide(name: Column, names: list[str] | None = None) -> Column:
+    """Whether a file name is one of the names (HIDDEN if not given)."""
+    return name.isin(HIDDEN if names is None else names)
+
+
+def should_ignore(path: Column, names: list[str] | None = None) -> Column:
+    """A path that is . or .., begins with a dot folder, or matches one of the names (IGNORED if not given)."""
+    out = path.isin(".", "..") | (path.startswith(".") & ~path.startswith("./") & ~path.startswith("../"))
+    for name in IGNORED if names is None else names:
+        out = out | matches_path(path, name)
+    return out & (path != "")
+
+
 def join_path(*parts: Column) -> Column:
     return F.regexp_replace(F.concat_ws("/", *parts), "/+", "/")
 

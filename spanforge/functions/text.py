@@ -219,6 +219,22 @@ def python_function(returns: str) -> Callable:
     return wrap
 
 
+# Escapes of one letter that echo knows.
+ECHO = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\\": "\\", '"': '"', "'": "'"}
+_ECHO = re.compile(r"""\\(?:([ntrabfv\\"'])|([0-3][0-7]{0,2}|[4-7][0-7]?)|x([0-9a-fA-F]{1,2}))""")
+
+
+@python_function("string")
+def echo_unescape(text: str) -> str:
+    r"""Escapes as echo -e reads them: letters, \NNN octal, \xHH; what it doesn't know stays. Bytes that aren't UTF-8 become U+FFFD."""
+    at, out = 0, bytearray()
+    for m in _ECHO.finditer(text):
+        out += text[at : m.start()].encode("utf-8", "surrogatepass")
+        out += ECHO[m[1]].encode() if m[1] else bytes([int(m[2], 8) if m[2] else int(m[3], 16)])
+        at = m.end()
+    return (bytes(out) + text[at:].encode("utf-8", "surrogatepass")).decode("utf-8", "replace")
+
+
 PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -408,7 +424,13 @@ def unescape(text: str, language: str = "json") -> str:
     """The inverse of escape, in one pass."""
     back = {b: a for a, b in ESCAPES[language].items()}
     found = re.compile("|".join(map(re.escape, sorted(back, key=len, reverse=True))) + (r"|\\u[0-9a-fA-F]{4}" if language in ("json", "javascript", "typescript") else ""))
-    return found.sub(lambda m: back[m[0]] if m[0] in back else chr(int(m[0][2:], 16)), text)
+    out = found.sub(lambda m: back[m[0]] if m[0] in back else chr(int(m[0][2:], 16)), text)
+    return whole_pairs(out)
+
+
+def whole_pairs(text: str) -> str:
+    """Halves of surrogate pairs joined; one that stands alone becomes U+FFFD."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def needs_escape(text: Column, language: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,6 +60,36 @@ def append(facts: DataFrame, new: DataFrame, key: str, generation: int) -> DataF
     return facts.unionByName(added.select(*facts.columns))
 
 
+def clear(facts: DataFrame) -> DataFrame:
+    """A store of the same columns without facts."""
+    return facts.where(F.lit(False))
+
+
+def update(facts: DataFrame, changed: DataFrame, generation: int) -> DataFrame:
+    """facts with the rows of changed in place of those with their ids; the new ones carry the generation."""
+    new = changed.withColumn("generation", F.lit(generation)).select(*facts.columns)
+    return facts.join(new.select("id"), "id", "left_anti").select(*facts.columns).unionByName(new)
+
+
+def read_index(spark: SparkSession, path: str, predicate: str | None = None, schema=None) -> DataFrame:
+    """Facts that write_index wrote; with a predicate only its folder is read."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    out = reader.parquet(path)
+    return out if predicate is None else by_predicate(out, predicate)
+
+
+def hit_rate(lookups: DataFrame, cached: DataFrame, key: str) -> DataFrame:
+    """hits, misses, rate of lookups of a key in what a cache holds."""
+    found = lookups.join(cached.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")
+    hits, n = F.count("_hit"), F.count(F.lit(1))
+    return found.agg(hits.alias("hits"), (n - hits).alias("misses"), (hits / n).alias("rate"))
+
+
+def recent(lookups: DataFrame, key: str, at: str, n: int) -> DataFrame:
+    """The n keys looked up last: what a cache of n entries holds that drops the least recently used."""
+    return lookups.groupBy(key).agg(F.max(at).alias("last")).orderBy(F.desc("last"), key).limit(n)
+
+
 def compact(facts: DataFrame, least_confidence: float) -> DataFrame:
     """Facts at or above a confidence; ids stay as they are."""
     return facts.where(F.col("confidence") >= least_confidence)

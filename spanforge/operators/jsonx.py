@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import whole_pairs
+
 MAX_SCHEMA_DEPTH, MAX_DEPTH, DEEP, MANY_KEYS, MANY_ELEMENTS = 20, 100, 20, 50, 100
 
 # Lint rules with severity, default and description.
@@ -142,7 +144,7 @@ SCALARS = {"string_value": "string", "number_value": "number", "boolean_true": "
 
 def unquote(raw: str) -> str:
     try:
-        return json.loads(raw, strict=False)
+        return whole_pairs(json.loads(raw, strict=False))
     except ValueError:
         return raw.strip('"')
 
@@ -429,6 +431,10 @@ def format_json(text: str, indent: int = 2, sort_keys: bool = False, compact: in
 # As DataFrames
 
 
+# Rows that a task holds before it hands them on, but for those of one document.
+EXPLODED_ROWS = 20_000
+
+
 def explode_documents(df: DataFrame, text: str, function, schema: str, names: list[str]) -> DataFrame:
     """df without the text, with one row for each row that a function gives for a document; null gives none."""
     keys = [c for c in df.columns if c != text]
@@ -436,10 +442,20 @@ def explode_documents(df: DataFrame, text: str, function, schema: str, names: li
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [[] if t is None else function(t) for t in b[text]]
-            rows = b[keys].loc[b.index.repeat([len(x) for x in found])].reset_index(drop=True)
-            flat = pd.DataFrame([r for x in found for r in x], columns=names)
-            yield pd.concat([rows, flat], axis=1)[[*keys, *names]] if len(flat) else pd.DataFrame(columns=[*keys, *names])
+            at, found = [], []
+            for i, t in zip(b.index, b[text]):
+                own = [] if t is None else function(t)
+                at += [i] * len(own)
+                found += own
+                if len(found) >= EXPLODED_ROWS:
+                    yield frame(b, at, found)
+                    at, found = [], []
+            yield frame(b, at, found)
+
+    def frame(b: pd.DataFrame, at: list, found: list) -> pd.DataFrame:
+        if not found:
+            return pd.DataFrame(columns=[*keys, *names])
+        return pd.concat([b[keys].loc[at].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)[[*keys, *names]]
 
     return df.mapInPandas(run, f"{key_schema}, {schema}" if key_schema else schema)
 
@@ -457,6 +473,16 @@ def nodes_table(df: DataFrame, text: str) -> DataFrame:
     return explode_documents(df, text, rows, "node_id int, kind string, `key` string, raw string, span_start long, span_end long, depth int", ["node_id", "kind", "key", "raw", "span_start", "span_end", "depth"])
 
 
+def diagnostics_table(df: DataFrame, text: str) -> DataFrame:
+    """rule, severity, message, span_start, span_end of each document: its syntax errors, or, without any, what lint finds."""
+
+    def rows(t: str) -> list:
+        errors = parse(t)[1]
+        return [("syntax_error", "err", message, start, end) for start, end, message in errors] or lint(t)
+
+    return explode_documents(df, text, rows, "rule string, severity string, message string, span_start long, span_end long", ["rule", "severity", "message", "span_start", "span_end"])
+
+
 def symbols_table(df: DataFrame, text: str) -> DataFrame:
     return explode_documents(df, text, symbols, "name string, kind string, span_start long, span_end long, signature string", ["name", "kind", "span_start", "span_end", "signature"])
 

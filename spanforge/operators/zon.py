@@ -312,6 +312,40 @@ def facts_table(df: DataFrame, text: str) -> DataFrame:
     return explode_documents(df, text, facts, "id long, span_start long, span_end long, predicate string", ["id", "span_start", "span_end", "predicate"])
 
 
+def zon_column(text: Column, function, returns: str = "string") -> Column:
+    """What a function gives for each document; null for null."""
+
+    @F.pandas_udf(returns)
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else function(v) for v in values], dtype=object)
+
+    return run(text)
+
+
+def format_column(text: Column, **options) -> Column:
+    return zon_column(text, lambda v: format_zon(v, **options))
+
+
+def type_column(text: Column) -> Column:
+    """The struct type of a document; null if it has errors."""
+
+    def one(v: str) -> str | None:
+        root, errors = parse(v)
+        return None if errors or root is None else type_text(root)
+
+    return zon_column(text, one)
+
+
+def kind_column(text: Column) -> Column:
+    """The known kind of a document, empty if none; null if it has errors."""
+
+    def one(v: str) -> str | None:
+        root, errors = parse(v)
+        return None if errors or root is None else document_kind(root)
+
+    return zon_column(text, one)
+
+
 def to_json(text: Column) -> Column:
     """A ZON document as JSON text; null for null or a document with errors."""
     import json

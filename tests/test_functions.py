@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.functions import chars, patterns, text, unicode
+from spanforge.functions import chars, dates, patterns, text, unicode
 
 
 def ask(spark, *columns):
@@ -93,3 +93,28 @@ def test_unicode(spark):
 def test_nulls(spark):
     n = F.lit(None).cast("string")
     assert ask(spark, text.count_lines(n), text.is_balanced(n), text.unescape(n), patterns.basename(n), unicode.sanitize(n), text.strip_quotes(n))[1:] == [None] * 5
+
+
+def test_unescape_pairs_and_halves(spark):
+    df = spark.createDataFrame([(r"😀!",), (r"a\ud83d",), (r"é\n",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.unescape(F.col("t"))).collect()] == ["😀!", "a�", "é\n", None]
+
+
+def test_echo_unescape():
+    f = text.echo_unescape.scalar
+    assert f(r"a\tb\\n\q") == "a\tb\\n\\q" and f(r"\101\x41\x4") == "AA\x04" and f(r"\777") == "?7" and f(r"\xc3\xa9") == "é" and f("\\") == "\\"
+
+
+def test_dates(spark):
+    df = spark.createDataFrame([(0,), (951782399,), (951782400,), (-1,), (None,)], "s long")
+    got = df.select(dates.format_date(F.col("s")), dates.format_date_time(F.col("s")), dates.simple_date(F.col("s")).alias("d")).collect()
+    assert [r[0] for r in got] == ["1970-01-01", "2000-02-28", "2000-02-29", "1969-12-31", None]
+    assert got[1][1] == "2000-02-28T23:59:59Z" and tuple(got[2].d) == (2000, 2, 29, 0, 0, 0) and got[4].d is None
+
+
+def test_paths(spark):
+    rows = [("", ".", "./."), ("a//b/./c/", "a/b/c", "./a/b/c"), ("/", "/", "/"), ("//x", "/x", "/x"), ("./a", "a", "./a"), ("../a", "../a", "../a"), (".", ".", ".")]
+    df = spark.createDataFrame([r[:1] for r in rows], "p string")
+    got = df.select(patterns.normalize(F.col("p")).alias("n")).select("n", patterns.add_relative_prefix(F.col("n")).alias("r")).collect()
+    assert [r.n for r in got] == [r[1] for r in rows]
+    assert [r.r for r in got][1:] == [r[2] for r in rows][1:] and got[0].r == "."

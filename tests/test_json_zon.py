@@ -107,3 +107,12 @@ def test_zon_tables(spark):
     df = spark.createDataFrame([(1, ".{ .a = 1, .a = 2 }"), (2, None), (3, ".{")], "id long, doc string")
     assert {r.id for r in zon.lint_table(df, "doc").collect()} == {1, 3}
     assert [r.j for r in df.select(zon.to_json(df.doc).alias("j")).collect()] == ['{"a": 2}', None, None]
+
+
+def test_halves_of_pairs_and_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(jsonx, "EXPLODED_ROWS", 3)
+    df = spark.createDataFrame([(1, r'{"a\ud83d": 1, "😀": 2}'), (2, "[1, 2, 3, 4, 5]"), (3, None), (4, "[6]")], "id long, doc string")
+    got = jsonx.nodes_table(df, "doc").collect()
+    assert [r.key for r in got if r.id == 1 and r.kind == "property"] == ["a�", "😀"]
+    assert [r.raw for r in got if r.id in (2, 4) and r.kind == "number"] == list("123456")
+    assert {(r.id, r.rule) for r in jsonx.diagnostics_table(df.union(spark.createDataFrame([(5, "[1,"), (6, '{"a":1,"a":2}')], df.schema)), "doc").collect()} == {(5, "syntax_error"), (6, "no_duplicate_keys")}

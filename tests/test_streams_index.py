@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.operators import index, streams
+from spanforge.sources import facts as adapters
 from spanforge.sources import files
 from spanforge.sources.facts import number_rows
 
@@ -127,3 +128,39 @@ def test_dependencies(spark):
     declared = spark.createDataFrame([("a", "v1.0.0"), ("b", "2.0.0"), ("c", "3.0.0")], "name string, version string")
     installed = spark.createDataFrame([("a", "1.0.0"), ("b", "1.0.0")], "name string, version string")
     assert {r.name: r.status for r in files.dependencies(declared, installed).collect()} == {"a": "up_to_date", "b": "needs_update", "c": "missing"}
+
+
+def test_numbers_of_sparse_keys(spark):
+    """Keys that aren't dense, in few buckets of about equal size; a null key comes first."""
+    keys = [None, *(i**3 * 7_919_333 - 10**15 for i in range(3000))]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(5)
+    got = {r.k: r.id for r in number_rows(df, "k", buckets=40, least=50).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(keys)}
+    assert number_rows(df.limit(0), "k").count() == 0
+
+
+def test_lines_of_a_long_document(spark, tmp_path):
+    lines = [f"line {i}" * (i % 3) for i in range(2000)]
+    spark.createDataFrame([(5, "\n".join(lines)), (6, "one"), (7, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = adapters.facts_from_documents(spark, str(tmp_path)).select("source", "span_start", "span_end", "id").collect()
+    starts = [0]
+    for x in lines:
+        starts.append(starts[-1] + len(x) + 1)
+    assert sorted((r.span_start, r.span_end) for r in got if r.source == "5") == [(s, s + len(x)) for s, x in zip(starts, lines)]
+    assert [(r.span_start, r.span_end) for r in got if r.source != "5"] == [(0, 3), (0, 0)]
+    assert len({r.id for r in got}) == len(got)
+
+
+def test_too_many_parts_are_noticed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(adapters, "PARTS", 10)
+    spark.createDataFrame([(1, "\n".join("abcdefghijkl"))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    with pytest.raises(Exception, match="more than 10 parts"):
+        adapters.facts_from_documents(spark, str(tmp_path)).collect()
+
+
+def test_index_reads_one_folder(spark, sf_dir, tmp_path):
+    f = adapters.facts_from_events(spark, sf_dir)
+    index.write_index(f, str(tmp_path / "index"))
+    got = index.read_index(spark, str(tmp_path / "index"), "click")
+    assert got.count() == f.where("predicate = 'click'").count()
+    assert all("predicate=click" in x for x in got.inputFiles()) or "PartitionFilters: [isnotnull(predicate" in got._jdf.queryExecution().executedPlan().toString()
