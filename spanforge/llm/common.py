@@ -26,6 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[Workspace] = []
+
+
+@contextlib.contextmanager
+def finished_workspaces():
+    """Remove the workspaces that were made in this block when it ends: what was read from them has been written."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > first:
+            _made.pop().drop()
+
+
 class Workspace:
     """Tables that cut an operator's lineage, as Parquet in the shared folder.
 
@@ -36,6 +50,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _made.append(self)
 
     def path(self, name: str) -> str:
         self._n += 1

@@ -506,7 +506,12 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     kept = brute([(i, r.text) for i, r in after[2].items()], [(1, " ".join(item))])
     assert {x[0] for x in kept if not x[2]} == set(after[3])
     assert all(r.round_trip and r.n_tokens == len(r.token_ids) for r in after[4].values())
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    there = set(os.listdir(shared))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(after[4])
+    # of the tables that it made, only the last one is left
+    (left,) = [x for x in set(os.listdir(shared)) - there if any(f.endswith(".parquet") for _, _, fs in os.walk(f"{shared}/{x}") for f in fs)]
+    assert [x.split("-", 1)[1] for x in os.listdir(f"{shared}/{left}")] == ["sentencepiece"]
     # every row is a document of its own: copies without an id, or with another's id, go too
     t = " ".join(prose(rng, 30))
     got = corpus_pipeline.minhash(spark, docs(spark, [(1, t), (None, t), (None, ""), (None, t + " end"), (2, "x"), (2, "x"), (2, "y"), (None, "z"), (None, "z")]), str(tmp_path)).collect()
