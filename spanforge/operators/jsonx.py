@@ -457,7 +457,13 @@ def explode_documents(df: DataFrame, text: str, function, schema: str, names: li
             return pd.DataFrame(columns=[*keys, *names])
         return pd.concat([b[keys].loc[at].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)[[*keys, *names]]
 
-    return df.mapInPandas(run, f"{key_schema}, {schema}" if key_schema else schema)
+    return spread(df).mapInPandas(run, f"{key_schema}, {schema}" if key_schema else schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small file in one piece would keep one worker busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def tokens_table(df: DataFrame, text: str) -> DataFrame:
