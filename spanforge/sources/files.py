@@ -93,12 +93,12 @@ def tree(paths: DataFrame, path: str = "path", max_depth: int = 64, ignored: lis
     return out.select(F.array_join(F.transform("steps", lambda s: s["k"]), "\x01").alias("seq_key"), "path", line.alias("line"))
 
 
-def bundle(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """path, block: each file fenced by more backticks than it holds; files over 10 MB go."""
+def bundle(files: DataFrame, path: str = "path", text: str = "text", most: int = MAX_BUNDLED) -> DataFrame:
+    """path, block: each file fenced by more backticks than it holds; files over `most` bytes go."""
     mark = F.repeat(F.lit("`"), fence_length(F.col(text)).cast("int"))
     lang = patterns.language(F.col(path))
     body = F.concat(F.lit('<File path="./'), F.col(path), F.lit('">\n\n'), mark, F.when(lang == "unknown", "").otherwise(lang), F.lit("\n"), F.col(text), F.when(F.col(text).endswith("\n"), "").otherwise("\n"), mark, F.lit("\n\n</File>\n"))
-    return files.where(F.octet_length(text) <= MAX_BUNDLED).select(path, body.alias("block"))
+    return files.where(F.octet_length(text) <= most).select(path, body.alias("block"))
 
 
 def unformatted(files: DataFrame, formatted: Column, text: str = "text") -> DataFrame:
