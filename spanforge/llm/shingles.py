@@ -17,20 +17,25 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+class _Memo(dict):
+    """Hashes of words, made when they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
 class WordHashes:
-    """64-bit hashes of words, remembered for at most MEMO distinct words."""
+    """64-bit hashes of words, remembered for at most MEMO distinct words and those of one text more."""
 
     def __init__(self):
-        self.memo: dict[bytes, int] = {}
+        self.memo = _Memo()
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        if new := {w for w in words if w not in self.memo}:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo, new = {}, set(words)
-            digest = xxhash.xxh64_intdigest
-            self.memo.update((w, digest(w)) for w in new)
+        if len(self.memo) > MEMO:
+            self.memo = _Memo()
         return np.fromiter(map(self.memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
