@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from .common import Workspace, small
+from .common import Workspace, shuffled, small
 
 # Rows that the rotations, and those that the radii are fitted on; bits of a code, of its indexed part, of a substring.
 SAMPLE, FIT_QUERIES = 20_000, 200
@@ -181,7 +181,7 @@ def retrieve(asked: DataFrame, classes: DataFrame, radii: tuple[int, int], salts
     ball = lambda j, own: F.transform(F.lit(own), lambda m: key(j, substring(first, j).bitwiseXOR(m.cast("int"))))
     probed = F.explode(F.concat(*[ball(j, own) for j, own in masks.items()])).alias("key")
     probes = asked.select(F.col("cls").alias("q"), *words, probed).withColumn("salt", F.explode(F.sequence(F.lit(0), salt_of - 1)))
-    met = probes.alias("p").join(posts.alias("s"), ["key", "salt"])
+    met = probes.alias("p").join(shuffled(posts.alias("s")), ["key", "salt"])
     apart = [F.bit_count(F.col(f"p.c{i}").bitwiseXOR(F.col(f"s.c{i}"))) for i in range(BITS // WORD)]
     near = apart[0] <= radii[0] if INDEXED == WORD else sum(apart[1 : INDEXED // WORD], apart[0]) <= radii[0]
     differ, own = F.col("p.c0").bitwiseXOR(F.col("s.c0")), shares(radii[0], parts)
@@ -195,7 +195,7 @@ def nearest(asked: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, dime
     norm = lambda c: F.sqrt(total(F.transform(c, lambda v: v.cast("double") * v.cast("double"))))
     left = asked.select(F.col("cls").alias("q"), F.col("x").alias("a"), norm("x").alias("na"))
     right = classes.select(F.col("cls").alias("v"), F.col("x").alias("b"), norm("x").alias("nb"), "members")
-    both = pairs.join(right, "v").join(small(left, BROADCAST_BYTES // (8 * dimensions + 32)), "q")
+    both = pairs.join(shuffled(right), "v").join(small(left, BROADCAST_BYTES // (8 * dimensions + 32)), "q")
     dot = total(F.zip_with("a", "b", lambda a, b: a.cast("double") * b.cast("double")))
     scored = both.select("q", "members", (F.col("q") == F.col("v")).alias("own"), (dot / (F.col("na") * F.col("nb"))).alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("members")[0])
@@ -223,7 +223,7 @@ def search(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", e
     codes = Codes(*learn_rotation(x, BITS))
     classes = work.stash(classes.where(F.size("x") == d).withColumn("code", code_udf(codes)("x")), "codes")
     rows = work.stash(rows.where((F.size("x") == d) & (F.col("vec_id") % every == 0)).select("vec_id", "cls"), "queries")
-    asked = classes.join(rows.select("cls").distinct(), "cls", "left_semi")
+    asked = classes.join(small(rows.select("cls").distinct(), BROADCAST_BYTES // 128), "cls", "left_semi")
     asked = work.stash(asked.select("cls", "x", "code"), "asked")
     apart = neighbour_distances(classes, codes, x[:: max(1, len(x) // FIT_QUERIES)][:FIT_QUERIES], k)
     radii = tuple(int(np.ceil(np.quantile(apart[:, i], recall))) for i in (0, 1)) if len(apart) else (INDEXED, BITS)
@@ -241,11 +241,11 @@ def search(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", e
         out = part if out is None else out.unionByName(part)
         if radii == (INDEXED, BITS):
             break
-        left = work.stash(left.join(best.where(enough).select(F.col("q").alias("cls")), "cls", "left_anti"), "left")
+        left = work.stash(left.join(shuffled(best.where(enough).select(F.col("q").alias("cls"))), "cls", "left_anti"), "left")
         if left.isEmpty():
             break
         radii = wider(radii)
-    found = rows.join(small(out.withColumnRenamed("q", "cls"), BROADCAST_BYTES // (32 * (k + 1))), "cls")
+    found = rows.join(small(out.withColumnRenamed("q", "cls"), BROADCAST_BYTES // (64 * (k + 1))), "cls")
     mine = F.array_position(F.transform("best", lambda e: e["own"] & (e["vec_id"] == F.col("vec_id"))), F.lit(True))
     rest = F.slice(F.filter("best", lambda e, i: (i + 1) != F.col("mine")), 1, k)
     ranked = found.withColumn("mine", mine).select(F.col("vec_id").alias("query_id"), F.posexplode(rest).alias("at", "one"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import minhash, queries
+from spanforge.llm import ann, minhash, queries
 from spanforge.llm import substring_dedup as sd
 from spanforge.llm.common import Workspace
 from spanforge.llm.components import connected_components
@@ -328,3 +328,24 @@ def test_op1(spark, sf_dir):
         got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
     missed = sum(len(p - got.get(i, set())) for i, p in expect.items())
     assert missed <= 0.01 * sum(map(len, expect.values()))
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of the tables that operators write, by name."""
+    seen, stash = {}, Workspace.stash
+
+    def kept(self, df, name):
+        seen.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stash(self, df, name)
+
+    monkeypatch.setattr(Workspace, "stash", kept)
+    return seen
+
+
+def test_exploded_probes_are_not_broadcast(spark, plans):
+    """A row of the queries becomes hundreds of probes, which the planner's guess of a size leaves out."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.standard_normal(16).tolist()) for i in range(300)], "vec_id long, embedding array<float>")
+    assert ann.search(rows).count() == 30
+    assert all("BroadcastHashJoin" not in p for p in plans["pairs"])
