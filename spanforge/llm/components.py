@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, shuffled
+
+# Edges up to which the planner may broadcast them.
+FEW = 200_000
 
 
 def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -23,12 +26,13 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
         if before == tuple(sums) or not sums[0]:
             break
         before = tuple(sums)
+        side = shuffled if sums[0] > FEW else lambda df: df
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(side(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = work.stash(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         work.drop(state)
         state = new
-    return loops.join(state.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return loops.join(shuffled(state.select(F.col("u").alias("node"), F.col("v").alias("component"))), "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, only, small_batches
+from .common import Workspace, only, shuffled, small_batches
 from .components import connected_components
 from .shingles import shingles, word_hashes, words_of
 
@@ -86,7 +86,7 @@ def prefixes(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     """rep, key, weight: the rarest shared postings of each class that can still reach `matches`."""
     posts = classes.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value")).alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    lists = posts.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))
+    lists = posts.join(shuffled(shared), "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))
     weight = F.aggregate("own", F.lit(0.0), lambda a, x: a + F.log1p(x["n"].cast("double")))
     room = F.size("own") - (matches - 1)
     return lists.where(room >= 1).select("rep", weight.alias("weight"), F.explode(F.slice("own", 1, room)).alias("one")).select("rep", "weight", F.col("one.key").alias("key"))
@@ -158,13 +158,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = work.stash(classes.select("rep", "sig", "size"), "classes")
     posted = work.stash(prefixes(classes, coordinates, matches), "prefixes")
     hubs = posted.groupBy("key").agg(F.min("rep").alias("hub"))
-    star = posted.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    star = posted.join(shuffled(hubs), "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = connected_components(work.stash(star, "stars"), work).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
     weights = posted.groupBy("rep").agg(F.first("weight").alias("weight"))
-    clusters = work.stash(clusters.join(weights, "rep"), "clusters")
-    clusters = clusters.join(classes, "rep")
+    clusters = work.stash(clusters.join(shuffled(weights), "rep"), "clusters")
+    clusters = clusters.join(shuffled(classes), "rep")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("m_blocks"))
-    clusters = work.stash(clusters.join(sizes, "cluster"), "sized")
+    clusters = work.stash(clusters.join(shuffled(sizes), "cluster"), "sized")
     about = clusters.select("rep", "sig", "size")
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
     texts = work.stash(only(texts, clusters.select("rep"), "rep"), "texts")
@@ -176,34 +176,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     few = clusters.where("m_blocks = 1").select("rep", "cluster", F.col("rep").alias("part"), F.lit(True).alias("anchor"), "sig", "size")
-    links = few.join(texts, "rep").groupBy("cluster").applyInPandas(compare, edge)
+    links = few.join(shuffled(texts), "rep").groupBy("cluster").applyInPandas(compare, edge)
     links = work.stash(links, "links")
     many = clusters.where("m_blocks > 1").drop("sig", "size")
     if not many.isEmpty():
         block = lambda of: F.pmod(F.xxhash64("rep"), of.cast("long")).cast("int")
         # Pivots: the classes whose postings are the most common, found without sorting a cluster in one task.
-        top = _top(many)
+        top = F.broadcast(_top(many))  # of a block of BLOCK classes or more, PIVOTS
         with_blocks = top.join(many, ["cluster", "rep"]).select("rep", "cluster", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("block"), F.lit(True).alias("anchor"))
         members = many.select("rep", "cluster", block(F.col("m_blocks")).alias("block"), F.lit(False).alias("anchor"))
         members = members.join(top.withColumn("is_top", F.lit(True)), ["cluster", "rep"], "left").where("is_top is null").drop("is_top")
         round1 = with_blocks.unionByName(members).withColumn("part", F.col("rep"))
-        found = work.stash(round1.join(about, "rep").join(texts, "rep").groupBy("cluster", "block").applyInPandas(compare, edge), "pivot-links")
+        found = work.stash(round1.join(shuffled(about), "rep").join(shuffled(texts), "rep").groupBy("cluster", "block").applyInPandas(compare, edge), "pivot-links")
         parts = connected_components(found.union(many.select(F.col("rep").alias("a"), F.col("rep").alias("b"))), work)
-        parts = work.stash(parts.select(F.col("node").alias("rep"), F.col("component").alias("part")).join(many, "rep"), "parts")
+        parts = work.stash(parts.select(F.col("node").alias("rep"), F.col("component").alias("part")).join(shuffled(many), "rep"), "parts")
         by_part = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("k"))
         largest = by_part.groupBy("cluster").agg(F.max_by("part", F.struct("k", "part")).alias("largest"))
-        outside = parts.join(largest, "cluster").where("part <> largest")
+        outside = parts.join(F.broadcast(largest), "cluster").where("part <> largest")
         out_size = outside.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("a_blocks"))
         spread = lambda of, name: F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias(name)
-        asks = outside.join(out_size, "cluster").select("rep", "part", "cluster", block(F.col("a_blocks")).alias("ablock"), spread("m_blocks", "mblock"), F.lit(True).alias("anchor"))
-        told = parts.join(out_size, "cluster").select("rep", "part", "cluster", spread("a_blocks", "ablock"), block(F.col("m_blocks")).alias("mblock"), F.lit(False).alias("anchor"))
+        asks = outside.join(F.broadcast(out_size), "cluster").select("rep", "part", "cluster", block(F.col("a_blocks")).alias("ablock"), spread("m_blocks", "mblock"), F.lit(True).alias("anchor"))
+        told = parts.join(F.broadcast(out_size), "cluster").select("rep", "part", "cluster", spread("a_blocks", "ablock"), block(F.col("m_blocks")).alias("mblock"), F.lit(False).alias("anchor"))
         round2 = asks.unionByName(told)
-        more = work.stash(round2.join(about, "rep").join(texts, "rep").groupBy("cluster", "ablock", "mblock").applyInPandas(compare, edge), "outside-links")
+        more = work.stash(round2.join(shuffled(about), "rep").join(shuffled(texts), "rep").groupBy("cluster", "ablock", "mblock").applyInPandas(compare, edge), "outside-links")
         links = links.union(found).union(more)
     joined = connected_components(links, work).withColumnRenamed("node", "rep").withColumnRenamed("component", "component_id")
     keep = signed.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
-    labelled = keep.join(joined, "rep", "left").select("print", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "print").join(labelled, "print", "left")
+    labelled = keep.join(shuffled(joined), "rep", "left").select("print", F.coalesce("component_id", "rep").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "print").join(shuffled(labelled), "print", "left")
     component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.llm import ann, minhash, queries
+from spanforge.llm import components as components_module
 from spanforge.llm import substring_dedup as sd
 from spanforge.llm.common import Workspace
 from spanforge.llm.components import connected_components
@@ -349,3 +350,13 @@ def test_exploded_probes_are_not_broadcast(spark, plans):
     rows = spark.createDataFrame([(i, rng.standard_normal(16).tolist()) for i in range(300)], "vec_id long, embedding array<float>")
     assert ann.search(rows).count() == 30
     assert all("BroadcastHashJoin" not in p for p in plans["pairs"])
+
+
+def test_classes_and_edges_are_not_broadcast(spark, plans, monkeypatch):
+    """Tables that grow with the documents are joined by shuffles, however small Parquet makes them look."""
+    monkeypatch.setattr(components_module, "FEW", 0)
+    rows = corpus(3)
+    expect, _ = components(rows, 80)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()} == expect
+    for name in ("prefixes", "stars", "clusters", "sized", "links", "edges"):
+        assert plans[name] and all("BroadcastHashJoin" not in p for p in plans[name]), name
