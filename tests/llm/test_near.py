@@ -360,3 +360,14 @@ def test_classes_and_edges_are_not_broadcast(spark, plans, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()} == expect
     for name in ("prefixes", "stars", "clusters", "sized", "links", "edges"):
         assert plans[name] and all("BroadcastHashJoin" not in p for p in plans[name]), name
+
+
+def test_near_passages_whose_runs_other_documents_had_first(spark):
+    """Each run that two near passages share stands in earlier documents that have no more of them."""
+    rng = random.Random(17)
+    passage = prose(rng, 60, 10**6)
+    near = passage[:30] + ["changed"] + passage[31:]
+    rows = [(i, " ".join(prose(rng, 60, 10**6) + part + prose(rng, 60, 10**6))) for i, part in enumerate((passage[:30], passage[31:], passage[:30], passage[31:]))]
+    rows += [(10, " ".join(prose(rng, 60, 10**6) + passage)), (11, " ".join(prose(rng, 60, 10**6) + near + prose(rng, 60, 10**6)))]
+    got = [(r.doc_id, r.source_id, r.start, r.end) for r in sd.shared_passages(docs(spark, rows)).collect()]
+    assert got == [(11, 10, 60, 120)]
