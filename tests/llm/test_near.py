@@ -371,3 +371,55 @@ def test_near_passages_whose_runs_other_documents_had_first(spark):
     rows += [(10, " ".join(prose(rng, 60, 10**6) + passage)), (11, " ".join(prose(rng, 60, 10**6) + near + prose(rng, 60, 10**6)))]
     got = [(r.doc_id, r.source_id, r.start, r.end) for r in sd.shared_passages(docs(spark, rows)).collect()]
     assert got == [(11, 10, 60, 120)]
+
+
+@pytest.fixture
+def stashed(monkeypatch):
+    """The rows of the tables that operators write, by name."""
+    seen, stash = {}, Workspace.stash
+
+    def kept(self, df, name):
+        out = stash(self, df, name)
+        seen.setdefault(name, []).append([tuple(r) for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(Workspace, "stash", kept)
+    return seen
+
+
+def test_words_again_and_again_are_no_passage(spark, stashed):
+    """Texts that share one word 24 times, between others of their own, aren't compared; exact passages of it are found."""
+    rng = random.Random(19)
+    rows = [(i, " ".join(prose(rng, 30, 10**6) + ["the"] * 24 + prose(rng, 30, 10**6))) for i in range(12)]
+    assert sd.shared_passages(docs(spark, rows)).count() == 0
+    assert not any(pairs for name in ("pairs", "more-pairs", "later", "later-pairs") for pairs in stashed.get(name, []))
+    rows += [(20, " ".join(["the"] * 60 + prose(rng, 30, 10**6))), (21, " ".join(prose(rng, 60, 10**6) + ["the"] * 55))]
+    assert [(r.doc_id, r.source_id, r.start, r.end) for r in sd.shared_passages(docs(spark, rows)).collect()] == [(21, 20, 60, 115)]
+
+
+def test_near_passages_around_one_word_again_and_again(spark):
+    rng = random.Random(23)
+    a, b, the = prose(rng, 12, 10**6), prose(rng, 12, 10**6), ["the"]
+    rows = [(1, " ".join(prose(rng, 60, 10**6) + a + the * 30 + b)), (2, " ".join(a + the * 26 + b + prose(rng, 60, 10**6)))]
+    assert {(r.doc_id, r.source_id) for r in sd.shared_passages(docs(spark, rows)).collect()} == {(2, 1)}
+
+
+def test_copies_are_not_compared(spark, stashed):
+    """Equal texts repeat the first one of them, whole; the others are no documents of any window."""
+    rng = random.Random(29)
+    passage = prose(rng, 60, 10**6)
+    t = " ".join(prose(rng, 40, 10**6) + passage) + "\x0b end"
+    rows = [(i, t) for i in (3, 5, 5, 7, 8)] + [(9, " ".join(prose(rng, 40, 10**6) + passage)), (5, "short"), (10, "short")]
+    got = sorted((r.doc_id, r.source_id, r.start, r.end, r.similarity) for r in sd.shared_passages(docs(spark, rows)).collect())
+    n = len(words_of(t))
+    assert got == [(i, 3, 0, n, 1.0) for i in (5, 7, 8)] + [(9, 3, 40, 100, 1.0)]
+    assert sorted(pair for pairs in stashed["pairs"] + stashed["more-pairs"] + stashed.get("later-pairs", []) for pair in pairs) == [(9, 3)]
+
+
+def test_only_runs_that_are_long_enough_are_compared(spark, stashed):
+    """Twelve shingles in a row are no run of 19, though they go on beside the half run."""
+    rng = random.Random(31)
+    piece = prose(rng, 16, 10**6)
+    rows = [(i, " ".join(prose(rng, 60, 10**6) + piece + prose(rng, 60, 10**6))) for i in range(40)]
+    assert sd.shared_passages(docs(spark, rows)).count() == 0
+    assert stashed["pairs"] == [[]] and stashed["later"] == [[]]
